@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,13 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 4 * CHUNK_CHARS) ->
             start, size = i, 0
         size += n
     yield batch.slice(start)
+
+
+def bit_set(places: DataFrame, bits: int) -> np.ndarray:
+    """2 ** bits bits as bytes, lowest first, with those of places (at, from 0) set: bounded whatever the input."""
+    size = 1 << 15  # of the maps that Spark builds
+    rows = places.groupBy(F.shiftright("at", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(size - 1).cast("long")).alias("m")).collect()
+    out = np.zeros(max(1 << bits, size) // 8, np.uint8)
+    for r in rows:
+        out[r.k * size // 8 : (r.k + 1) * size // 8] = np.frombuffer(bytes(r.m), np.uint8)
+    return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import col, slices, write_table
+from veilframe.llm.common import bit_set, col, slices, write_table
 
 #: Rows of a range of ids on average, and the most ranges; more rows make larger ranges.
 RANGE_ROWS, MAX_RANGES = 2000, 4096
@@ -49,18 +49,11 @@ def shared_digests(docs: DataFrame, digests: DataFrame, text_col: str, bits: int
     digests has a column digest for each row of docs. A bit map of fixed size says which digests may occur twice;
     only texts of these are dealt out by digest, each once from a task, and compared byte by byte with the first.
     """
-    import pyspark.sql.functions as S
-
-    place = S.shiftright(S.conv(S.substring("digest", 1, 6), 16, 10).cast("long"), 24 - MAP_BITS)
+    place = F.shiftright(F.conv(F.substring("digest", 1, 6), 16, 10).cast("long"), 24 - MAP_BITS)
     twice = digests.groupBy("digest").count().where("count > 1").select(place.alias("at"))
-    rows = twice.groupBy(S.bitmap_bucket_number("at").alias("k")).agg(S.bitmap_construct_agg(S.bitmap_bit_position("at")).alias("m")).collect()
-    if not rows:
+    bitmap = bit_set(twice, MAP_BITS).tobytes()
+    if not any(bitmap):
         return frozenset()
-    bitmap = bytearray((1 << MAP_BITS) // 8)
-    for r in rows:
-        start = (r.k - 1) * len(r.m)
-        bitmap[start : start + len(r.m)] = r.m
-    bitmap = bytes(bitmap)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, decontaminate, fingerprint, langid, sharding
+from veilframe.llm import bpe, decontaminate, fingerprint, jaccard, langid, sharding
 from veilframe.llm.common import read_documents
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_documents(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_documents(spark, sf_dir), n_shards=40)
 
@@ -50,6 +54,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
     "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,
@@ -60,6 +65,18 @@ _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrs
 _BENCH_WORDS = "regexp_extract_all(" + _ASCII_LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op2_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w),
+c AS (SELECT s, len(s) AS n, md5(array_to_string(s, chr(10))) AS k, min(doc_id) AS lo FROM s WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT lo, n, unnest(s) AS g FROM c),
+o AS (SELECT x.lo AS a, y.lo AS b, count(*) AS o, any_value(x.n) AS na, any_value(y.n) AS nb FROM e x JOIN e y ON x.g = y.g AND x.lo < y.lo GROUP BY x.lo, y.lo),
+l AS (SELECT a, b FROM o WHERE 100 * o >= 80 * (na + nb - o)),
+z AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT lo AS a, lo AS b FROM c UNION SELECT r.a, z.b FROM r JOIN z ON r.b = z.a),
+m AS (SELECT c.s, min(r.b) AS component_id FROM c JOIN r ON c.lo = r.a GROUP BY c.s)
+SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM s LEFT JOIN m ON s.s = m.s
+""",
     "op7_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_BENCH_WORDS.format("text")}, []) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_BENCH_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
