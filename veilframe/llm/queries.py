@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, decontaminate, fingerprint, jaccard, langid, sharding
+from veilframe.llm import bpe, decontaminate, fingerprint, jaccard, langid, pii, secret_scan, sharding
 from veilframe.llm.common import read_documents
 
 
@@ -19,6 +19,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read_documents(spark, sf_dir), n_shards=40)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secrets(read_documents(spark, sf_dir)))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(read_documents(spark, sf_dir))
 
@@ -53,13 +57,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read_documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
+    "op4_secret_scan": op4_secret_scan,
     "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,
     "op7_decontamination": op7_decontamination,
     "op9_language_id": op9_language_id,
+    "op10_pii": op10_pii,
 }
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BENCH_WORDS = "regexp_extract_all(" + _ASCII_LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
