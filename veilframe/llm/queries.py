@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, decontaminate, fingerprint, jaccard, langid, pii, secret_scan, sharding
-from veilframe.llm.common import read_documents
+from veilframe.llm import bpe, decontaminate, fingerprint, jaccard, langid, pii, quality, secret_scan, sharding, warc
+from veilframe.llm.common import prepare, read_documents
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +55,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    read = warc.archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    number = lambda c: F.substring(c, len("urn:x-page:") + 1, 40).try_cast("long")
+    return read.select(number("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     found = langid.predict(docs, langid.fit(docs))
@@ -62,12 +73,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_sharding": op3_sharding,
     "op4_secret_scan": op4_secret_scan,
     "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,
     "op7_decontamination": op7_decontamination,
+    "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
 }
@@ -99,5 +112,14 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+g AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST((CAST('0x' || h[CAST(i // 4 * 5 + 1 AS INT):CAST(i // 4 * 5 + 5 AS INT)] AS BIGINT) >> CAST(15 - i % 4 * 5 AS INT)) & 31 AS INT)]), '') AS payload_digest,
+    CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN g USING (h)
 """,
 }
