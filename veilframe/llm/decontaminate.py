@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,14 +144,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    items = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item"), col(item_text_col).alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    passes = []
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        index = Index([(r.item, r.text) for r in block.orderBy("item", "text").collect()], window)  # block_bytes bounds it
-        passes.append(_pass(rows, docs.sparkSession.sparkContext.broadcast(index), kind))
+    indexes = _indexes(benchmark, item_col, item_text_col, window, block_bytes)
+    passes = [_pass(rows, i, kind) for i in indexes]
+    blocks = len(passes)
     if blocks == 1:
         return passes[0].drop("text_hash")
     found = passes[0]
@@ -170,6 +166,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return merged.select("doc_id", "n_words", "copies", "runs", "items").mapInArrow(join, _schema(kind))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns. Nothing is shuffled."""
+    indexes = _indexes(benchmark, item_col, item_text_col, window, block_bytes)
+    stretches = F.array().cast("array<array<int>>")
+    for index in indexes:  # a column of stretches each; each block's pass adds to what the ones before it found
+        stretches = _stretches(index)(col(text_col), stretches)
+    return docs.where(~_judge()(col(text_col), stretches))
+
+
+def _stretches(index):
+    @F.pandas_udf("array<array<int>>")
+    def more(texts: pd.Series, before: pd.Series) -> pd.Series:
+        return pd.Series([[*map(list, index.value.find(words_of(t))[0]), *b] for t, b in zip(texts, before, strict=True)])
+
+    return more
+
+
+def _judge():
+    @F.pandas_udf("boolean")
+    def contaminated(texts: pd.Series, stretches: pd.Series) -> pd.Series:
+        return pd.Series([_row(None, len(words_of(t)), _joined([(int(a), int(b)) for a, b in s]), [])[-1] for t, s in zip(texts, stretches, strict=True)], dtype=bool)
+
+    return contaminated
+
+
+def _indexes(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
+    """Broadcast indexes of blocks of items, each of block_bytes of text on average."""
+    items = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item"), col(text_col).alias("text")).where("text IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    out = []
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        index = Index([(r.item, r.text) for r in block.orderBy("item", "text").collect()], window)  # block_bytes bounds it
+        out.append(benchmark.sparkSession.sparkContext.broadcast(index))
+    return out
+
+
 def _schema(kind: str) -> str:
     return f"doc_id {kind}, n_words long, n_hit long, starts array<int>, ends array<int>, items array<string>, contaminated boolean"
 

@@ -12,11 +12,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import col, slices
+from veilframe.llm.common import col, pieces, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -181,6 +182,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(x, np.array([k for _, k in pairs]), langs)
 
 
+def classify(texts: list[str | None], network: Network | None) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    known = [i for i, t in enumerate(texts) if t and network is not None and _LETTER.search(t)]
+    if known:
+        x, owner, size = windows_of([texts[i].encode() for i in known])
+        p = network.probabilities(x) * size[:, None]
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        p = np.add.reduceat(p, starts, axis=0) / np.add.reduceat(size, starts)[:, None]
+        for i, k, s in zip(known, p.argmax(axis=1), p.max(axis=1), strict=True):
+            lang[i], score[i] = network.langs[k], min(float(s), 1.0)
+    return lang, score
+
+
 def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for each row of docs, from the whole text and nothing else.
 
@@ -192,16 +207,24 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                texts = part.column(1).to_pylist()
-                lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-                known = [i for i, t in enumerate(texts) if t and network is not None and _LETTER.search(t)]
-                if known:
-                    x, owner, size = windows_of([texts[i].encode() for i in known])
-                    p = network.probabilities(x) * size[:, None]
-                    starts = np.flatnonzero(np.diff(owner, prepend=-1))
-                    p = np.add.reduceat(p, starts, axis=0) / np.add.reduceat(size, starts)[:, None]
-                    for i, k, s in zip(known, p.argmax(axis=1), p.max(axis=1), strict=True):
-                        lang[i], score[i] = network.langs[k], min(float(s), 1.0)
+                lang, score = classify(part.column(1).to_pylist(), network)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def annotate(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score, as predict() has them, in place of columns of these names."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        values = texts.tolist()
+        lang, score = [], []
+        for a, b in pieces([t or "" for t in values]):
+            found = classify(values[a:b], network)
+            lang += found[0]
+            score += found[1].tolist()
+        return pd.DataFrame({"lang_pred": lang, "score": score})
+
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.withColumn("told", told(col(text_col))).select(*map(col, kept), "told.lang_pred", "told.score")

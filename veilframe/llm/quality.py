@@ -9,6 +9,7 @@ log-odds then move by as much as its path's differ from the mean of all.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,9 @@ from veilframe.llm.common import col, slices, write_table
 #: Bound on the labelled documents that training collects, and on the distinct words of each.
 TRAIN_DOCS, TRAIN_WORDS = 6000, 2000
 #: Words that a model has at most, the least documents that hold one, and how far from chance it is (in deviations).
-MAX_WORDS, LEAST_DOCS, LEAST_Z = 256, 8, 5.0
+MAX_WORDS, LEAST_DOCS, LEAST_Z = 512, 8, 4.5
+#: Bytes of the word beginnings that are features too, and log2 of the counters that choose among features.
+STEMS, COUNTER_BITS = (4, 5, 6, 7, 8, 9), 22
 BINS = 8
 RIDGE = 1.0
 #: From this quality, and below this toxicity, a document is kept.
@@ -35,6 +38,11 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_TABLE).split()
 
 
+def features_of(words: set[bytes]) -> set[bytes]:
+    """The words, and beginnings of longer ones behind a mark: languages that inflect show a word in many forms."""
+    return words | {b"^" + w[:n] for w in words for n in STEMS if len(w) > n}
+
+
 def form_of(text: str, words: list[bytes]) -> list[float]:
     """How a text is built: size, repetition, word length, and shares of kinds of characters."""
     raw = text.encode()
@@ -65,32 +73,35 @@ def form_of(text: str, words: list[bytes]) -> list[float]:
 class Model:
     """Log-odds: a weight for each word that a text has, and for the bin of each measure of its form."""
 
-    words: dict[bytes, float]
+    words: dict[bytes, float]  # and word beginnings
     edges: np.ndarray  # (measures, BINS - 1)
     weights: np.ndarray  # (measures, BINS)
     bias: float
 
     def score(self, words: set[bytes], form: list[float]) -> float:
         bins = [int(np.searchsorted(e, x, "right")) for e, x in zip(self.edges, form, strict=True)]
-        return self.bias + sum(map(self.words.__getitem__, self.words.keys() & words)) + float(self.weights[np.arange(len(bins)), bins].sum())
+        return self.bias + sum(map(self.words.__getitem__, self.words.keys() & features_of(words))) + float(self.weights[np.arange(len(bins)), bins].sum())
 
 
 def train(samples: list[tuple[set[bytes], list[float], int]]) -> Model:
     """Ridge logistic regression by Newton's method on telling words and binned form."""
     y = np.array([s[2] for s in samples], float)
     rate = y.mean()
-    held, with_one = Counter(), Counter()
+    place = lambda f: zlib.crc32(f) & ((1 << COUNTER_BITS) - 1)
+    held, with_one = np.zeros(1 << COUNTER_BITS, np.int32), np.zeros(1 << COUNTER_BITS, np.int32)
     for words, _, label in samples:
-        held.update(words)
-        if label:
-            with_one.update(words)
-    z = {w: (with_one[w] - n * rate) / math.sqrt(n * rate * (1 - rate) + 1e-9) for w, n in held.items() if n >= LEAST_DOCS}
-    chosen = sorted((w for w in z if abs(z[w]) >= LEAST_Z), key=lambda w: (-abs(z[w]), w))[:MAX_WORDS]
+        at = np.unique(np.fromiter(map(place, features_of(words)), np.int64))
+        held[at] += 1
+        with_one[at] += label
+    z = np.where(held >= LEAST_DOCS, (with_one - held * rate) / np.sqrt(held * rate * (1 - rate) + 1e-9), 0)
+    told = {f for words, _, _ in samples for f in features_of(words) if abs(z[place(f)]) >= LEAST_Z}
+    chosen = sorted(told, key=lambda f: (-abs(z[place(f)]), f))[:MAX_WORDS]
+    column = {f: k for k, f in enumerate(chosen)}
     form = np.array([s[1] for s in samples])
     edges = np.quantile(form, np.arange(1, BINS) / BINS, axis=0).T
     x = np.zeros((len(samples), len(chosen) + form.shape[1] * BINS + 1))
     for i, (words, _, _) in enumerate(samples):
-        x[i, [k for k, w in enumerate(chosen) if w in words]] = 1
+        x[i, [column[f] for f in column.keys() & features_of(words)]] = 1
     for j in range(form.shape[1]):
         x[np.arange(len(samples)), len(chosen) + j * BINS + np.searchsorted(edges[j], form[:, j], "right")] = 1
     x[:, -1] = 1
