@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import codecs
 import os
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veilframe.llm.common import col, pieces, slices
+from veilframe.llm.common import CHUNK_CHARS, col, pieces, slices
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -65,17 +68,71 @@ def _parts(token: bytes, limit: int, ranks: dict[bytes, int]) -> tuple[bytes, by
     return parts[0], parts[1]
 
 
-def encode_texts(texts: list[str], path: str, pattern: str) -> Iterator[tuple[list[int], list[tuple[int, int]]]]:
-    """For each text its ids and their spans in characters; a token of part of a character spans the character."""
-    tokenizer, _ = load(path, pattern)
-    for a, b in pieces(texts, 1 << 18):
-        for e in tokenizer.encode_batch(texts[a:b], add_special_tokens=False):
-            yield e.ids, e.offsets
+class Encoder:
+    """Encodes texts through the library, chunk by chunk, and remembers chunks.
+
+    A chunk begins at a space or line feed between two characters that aren't white space; no match of the usual
+    patterns crosses such a place, as a match either has white space at its start alone or nothing but white space.
+    Texts with white space beside white space are left in one piece.
+    """
+
+    CHUNKS = 500_000
+    _NEXT = re.compile(r"\s\s")
+    _CUT = re.compile(r"(?=[ \n])")
+    _TAIL = re.compile(r"(?<=[A-Za-z])[!-/:-@\[-`{-~]+\Z")  # a match ends between a letter and these
+    _MARK = "\ue000"  # stands between chunks, where a text lacks it
+
+    def __init__(self, path: str, pattern: str):
+        self.tokenizer, _ = load(path, pattern)
+        self.ids: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        ids = self.ids
+        for a, b in pieces(texts, CHUNK_CHARS):
+            cut = [self._chunks(t) for t in texts[a:b]]
+            self._learn({c for chunks in cut for c in chunks if c not in ids})
+            for chunks in cut:
+                yield np.frombuffer(b"".join(map(ids.__getitem__, chunks)), np.int32)
+            if len(ids) > self.CHUNKS:
+                ids.clear()
+
+    def encode_with_offsets(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the ids and (n, 2) their spans in characters; a token of part of a character spans it."""
+        for a, b in pieces(texts, CHUNK_CHARS // 4):
+            for e in self.tokenizer.encode_batch(texts[a:b], add_special_tokens=False):
+                yield np.array(e.ids, np.int32), np.array(e.offsets, np.int32).reshape(-1, 2)
+
+    def _learn(self, new: set[str]) -> None:
+        tails = {c: m.start() for c in new if (m := self._TAIL.search(c))}
+        parts = {x for c, at in tails.items() for x in (c[:at], c[at:])}
+        whole = [c for c in (new - tails.keys()) | parts if c not in self.ids]
+        for x, y in pieces(whole, CHUNK_CHARS):
+            for c, e in zip(whole[x:y], self.tokenizer.encode_batch_fast(whole[x:y], add_special_tokens=False), strict=True):
+                self.ids[c] = array("i", e.ids).tobytes()
+        for c, at in tails.items():
+            self.ids[c] = self.ids[c[:at]] + self.ids[c[at:]]
+
+    def _chunks(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if self._NEXT.search(text):
+            return [text]
+        if self._MARK in text:
+            return [c for c in self._CUT.split(text) if c]
+        mark = self._MARK
+        chunks = text.replace(" ", mark + " ").replace("\n", mark + "\n").split(mark)
+        return chunks if chunks[0] else chunks[1:]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
 def decode_ids(ids: Iterable[int], path: str, pattern: str) -> bytes:
     table = load(path, pattern)[1]
-    return b"".join([table[i] for i in ids])
+    return b"".join(map(table.__getitem__, ids))
 
 
 def decode_stream(ids: Iterable[int], path: str, pattern: str) -> Iterator[str]:
@@ -96,8 +153,6 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     schema += ", starts array<int>, ends array<int>" * offsets + ", decoded binary" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         def lists(rows: list) -> pa.Array:
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             flat = np.concatenate([np.empty(0, np.int32), *(np.asarray(r, np.int32) for r in rows)])
@@ -107,12 +162,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             for part in slices(batch, 1):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids, spans, back = [], [], []
-                for i, o in encode_texts(texts, path, pattern):
-                    ids.append(np.array(i, np.int32))
+                coder = encoder(path, pattern)
+                for one in coder.encode_with_offsets(texts) if offsets else coder.encode(texts):
+                    i = one[0] if offsets else one
+                    ids.append(i)
                     if offsets:
-                        spans.append(np.array(o, np.int32).reshape(-1, 2))
+                        spans.append(one[1])
                     if decoded:
-                        back.append(decode_ids(i, path, pattern))
+                        back.append(decode_ids(i.tolist(), path, pattern))
                 columns = [part.column(0), lists(ids)]
                 if offsets:
                     columns += [lists([s[:, 0] for s in spans]), lists([s[:, 1] for s in spans])]
