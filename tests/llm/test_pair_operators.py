@@ -76,6 +76,7 @@ def test_class_links_are_all_links(spark):
 
 
 def test_bounds_are_never_too_low():
+    assert jaccard.shingle_set("A b\x0bc".encode()).tolist() == jaccard.shingle_set(b"a B c").tolist()
     rng = np.random.default_rng(3)
     for _ in range(200):
         n, m = rng.integers(1, 300, 2)

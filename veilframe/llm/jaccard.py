@@ -5,10 +5,11 @@ A text is the set of its shingles' 64-bit hashes; texts of one set are a class,
 1. Tiles. Sets as alike as the threshold share one of their first n - ceil(t * n) + 1 shingles in any order that
    all sets follow. The order puts shingles that many texts hold last, so that common passages make no tiles. A tile
    is a shingle and a band of set sizes; a class meets its own band and the one below.
-2. Stars. In each tile every class is compared with one centre. Their links join most near copies, in as many
+2. Stars. In each tile every class is compared with a few centres. Their links join most near copies, in as many
    comparisons as there are rows, and give first components.
-3. The rest. Classes of a tile are compared pair by pair only where their first components differ: all that could
-   still join components, and nothing within a group of copies.
+3. The rest, in two rounds. Classes of a tile are compared pair by pair only where their first components differ: all that could
+   still join components, and nothing within a group of copies. Pairs of small tiles come from a join; the classes of
+   a large tile meet in blocks of bounded size, where bit maps are laid side by side, and only likely pairs leave.
 
 A comparison first bounds the overlap from above by the bits that only one of two bit maps has, and only where that
 leaves a chance intersects the sorted hash arrays. Sets are made again from the texts for those classes alone.
@@ -34,15 +35,19 @@ PERCENT = 80
 COMMON, TASK_COMMON, LEAST_COMMON = 1 << 18, 1 << 14, 8
 #: log2 of the bits of the filter for classes whose sets are made again; a false hit costs time only.
 FILTER_BITS = 24
+#: Classes of a shingle up to which they are paired by a join; beyond, bit maps are laid side by side in blocks.
+SMALL_TILE, BLOCK = 32, 4096
+#: Likeliest partners that a class of a large tile is compared with before all that are then still apart.
+NEAREST = 3
 _COMPACT = 1 << 21
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles of lower-cased (A-Z) words; of all words if there are fewer."""
+def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a UTF-8 text's shingles of lower-cased (A-Z) words; of all words if there are fewer."""
     import xxhash
 
-    tokens = text.encode().lower().split() if text else []
+    tokens = text.lower().split() if text else []  # bytes have ASCII cases and white space alone
     if not tokens:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
@@ -100,12 +105,13 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
-    """Two tables from one pass: (doc_id, n, cls, clash, bits) of each row, and common shingles (key, n) of each task.
+    """Two tables from one pass: (doc_id, h, n, cls, clash, bits) of each row, and common shingles (key, n) of each task.
 
-    bits is the bit map, with the first text of a class in a task; a set of less than two shingles has none.
+    h is a hash of the text. bits is the bit map, with the first text of a class in a task; a set of less than two
+    shingles has none.
     """
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, cls long, clash long, bits binary, keys array<long>, counts array<int>"
+    schema = f"doc_id {kind}, h long, n long, cls long, clash long, bits binary, keys array<long>, counts array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -113,9 +119,9 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> tup
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            for part in slices(batch, 1):
+            for part in slices(batch, 2):
                 n, cls, clash, bits = [], [], [], []
-                for text in part.column(1).to_pylist():
+                for text in part.column(2).to_pylist():
                     hashes = shingle_set(text, words)
                     this = class_of(hashes)
                     fresh = len(hashes) > 1 and this[0] not in seen
@@ -127,20 +133,20 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> tup
                     clash.append(this[1])
                     bits.append(bit_map(hashes) if fresh else None)
                 none = [None] * len(n)
-                yield _batch(part.column(0), n, cls, clash, bits, none, none)
+                yield _batch(part.column(0), part.column(1), n, cls, clash, bits, none, none)
         if id_type is not None:
             keys, counts = counted.most(TASK_COMMON)
-            yield _batch(pa.array([None], id_type), [-1], [0], [0], [None], [keys.view(np.int64)], [counts.astype(np.int32)])
+            yield _batch(pa.array([None], id_type), pa.array([0], pa.int64()), [-1], [0], [0], [None], [keys.view(np.int64)], [counts.astype(np.int32)])
 
-    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, schema)
+    rows = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("h"), col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
     written = write_table(rows, "shingle-sets")
     common = written.where("n < 0").select(F.explode(F.arrays_zip("keys", "counts")).alias("x")).groupBy(F.col("x.keys").alias("key")).agg(F.sum("x.counts").alias("n"))
-    return written.where("n >= 0").select("doc_id", "n", "cls", "clash", "bits"), common
+    return written.where("n >= 0").select("doc_id", "h", "n", "cls", "clash", "bits"), common
 
 
-def _batch(ids: pa.Array, n: list, cls: list, clash: list, bits: list, keys: list, counts: list) -> pa.RecordBatch:
-    columns = [ids, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(clash, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "cls", "clash", "bits", "keys", "counts"])
+def _batch(ids: pa.Array, h: pa.Array, n: list, cls: list, clash: list, bits: list, keys: list, counts: list) -> pa.RecordBatch:
+    columns = [ids, h, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(clash, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "cls", "clash", "bits", "keys", "counts"])
 
 
 class _Counter:
@@ -205,7 +211,7 @@ def tiles(docs: DataFrame, common: DataFrame, text_col: str, words: int, percent
                 columns = [np.concatenate([np.empty(0, d), *x]) for x, d in ((token, np.int64), (cls, np.int64), (size, np.int32), (place, np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "cls", "n", "at"])
 
-    prefixes = docs.select(col(text_col)).mapInArrow(run, "token long, cls long, n int, at int")
+    prefixes = docs.select(col(text_col).cast("binary")).mapInArrow(run, "token long, cls long, n int, at int")
     by_token = Window.partitionBy("token")
     several = prefixes.withColumn("lo", F.min("cls").over(by_token)).withColumn("hi", F.max("cls").over(by_token)).where("lo <> hi")
     return write_table(several.select("token", "cls", "n", "at").distinct(), "tiles")
@@ -216,37 +222,115 @@ def _band(percent: int, shift: float = 0.0):
     return F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) - 1e-9 + shift).cast("int")
 
 
-def star_pairs(tiled: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b): every class with the centre of each of its tiles, of bands and of bands moved by half."""
+def star_pairs(tiled: DataFrame, percent: int, salts: int = 3) -> DataFrame:
+    """(a, b, n_a, n_b): every class with the centres of each of its tiles, of bands and of bands moved by half.
+
+    Each salt makes a class of the tile its centre, the same one in most tiles of a group of near copies.
+    """
     found = None
     for shift in (0.0, 0.5):
         tile = Window.partitionBy("token", "band")
-        centre = F.min(F.struct(F.xxhash64("cls"), "cls", "n")).over(tile)
-        rows = tiled.withColumn("band", _band(percent, shift)).withColumn("c", centre)
-        pairs = rows.where("cls <> c.cls").select(F.col("cls").alias("a"), F.col("c.cls").alias("b"), F.col("n").alias("n_a"), F.col("c.n").alias("n_b"))
+        centres = F.array(*[F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls", "n")).over(tile) for k in range(salts)])
+        each = tiled.withColumn("band", _band(percent, shift)).withColumn("cs", centres).select("cls", "n", F.explode(F.array_distinct("cs")).alias("c"))
+        pairs = each.where("cls <> c.cls").select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"), F.when(F.col("cls") < F.col("c.cls"), F.col("n")).otherwise(F.col("c.n")).alias("n_a"), F.when(F.col("cls") < F.col("c.cls"), F.col("c.n")).otherwise(F.col("n")).alias("n_b"))
         found = pairs if found is None else found.unionByName(pairs)
     return found.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").distinct()
 
 
-def cross_pairs(tiled: DataFrame, joined: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b): pairs of classes of a tile that joined (node, component) doesn't put into one component.
+def _apart(tiled: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """tiled with each class's component, without shingles whose classes are all of one component."""
+    if joined is None:
+        return tiled.withColumn("comp", F.col("cls"))
+    rows = tiled.join(joined, tiled.cls == joined.node, "left").select("token", "cls", "n", "at", F.coalesce("component", "cls").alias("comp"))
+    by_token = Window.partitionBy("token")
+    return rows.withColumn("lo", F.min("comp").over(by_token)).withColumn("hi", F.max("comp").over(by_token)).where("lo <> hi").drop("lo", "hi")
+
+
+def cross_likely(tiled: DataFrame, joined: DataFrame | None, sets: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
+    """(a, b): likely pairs of classes of a tile that joined (node, component) doesn't put into one component.
 
-    Where a shingle is the first that two prefixes share, at most as much is shared as either has from there on.
+    With nearest, a class of a large tile has its likeliest partners only. Where a shingle is the first that two prefixes share, at most as much is shared as either has from there on.
     """
-    if joined is None:
-        rows = tiled.withColumn("comp", F.col("cls"))
-    else:
-        rows = tiled.join(joined, tiled.cls == joined.node, "left").select("token", "cls", "n", "at", F.coalesce("component", "cls").alias("comp"))
-        by_token = Window.partitionBy("token")
-        rows = rows.withColumn("lo", F.min("comp").over(by_token)).withColumn("hi", F.max("comp").over(by_token)).where("lo <> hi").drop("lo", "hi")
-    rows = write_table(rows.withColumn("band", _band(percent)), "tiles-apart")
-    left = rows.select(F.col("token").alias("t"), F.col("band").alias("tile"), F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("comp").alias("comp_a"), F.col("band").alias("band_a"))
-    right = rows.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("into"), "cls", "n", "at", "comp", "band")
+    counted = _apart(tiled, joined).withColumn("m", F.count("*").over(Window.partitionBy("token"))).withColumn("band", _band(percent))
+    rows = write_table(counted, "tiles-apart")
+    small = rows.where(F.col("m") <= SMALL_TILE)
+    left = small.select(F.col("token").alias("t"), F.col("band").alias("tile"), F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("comp").alias("comp_a"), F.col("band").alias("band_a"))
+    right = small.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("into"), "cls", "n", "at", "comp", "band")
     most = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at"))
     alike = (F.col("t") == F.col("token")) & (F.col("tile") == F.col("into")) & (F.col("comp_a") != F.col("comp"))
     alike &= (F.col("band") < F.col("band_a")) | (F.col("a") < F.col("cls"))
     alike &= most * (100 + percent) >= (F.col("n_a") + F.col("n")) * percent
-    return left.join(right, alike).select("a", F.col("cls").alias("b"), "n_a", F.col("n").alias("n_b")).distinct()
+    pairs = left.join(right, alike).select("a", F.col("cls").alias("b"), "n_a", F.col("n").alias("n_b")).distinct()
+    return bounded(pairs, sets, percent).unionByName(_blocks(rows.where(F.col("m") > SMALL_TILE), sets, percent, nearest)).distinct()
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """(a, b): likely pairs within large tiles. A tile's classes are cut into blocks, and any two blocks meet once."""
+    maps = sets.where("bits IS NOT NULL").groupBy("cls").agg(F.first("bits").alias("bits"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls", F.lit("block")), blocks).cast("int")
+    other = F.sequence(F.lit(0), blocks - 1)
+    dealt = rows.join(maps, "cls").withColumn("own", own).withColumn("other", F.explode(other))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "comp", "n", "at", "bits")
+    sorted_ = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def done() -> pa.RecordBatch:
+            a, b = _pairs_of(held, key[1] != key[2], percent, nearest) if key else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for token, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (token, i, j) != key:
+                    yield done()
+                    key, held = (token, i, j), []
+                held.append(row)
+        yield done()
+
+    return sorted_.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _pairs_of(rows: list[list], two: bool, percent: int, nearest: int | None = None) -> tuple[list[int], list[int]]:
+    """Likely pairs among rows (own, cls, comp, n, at, bits): the larger set of each pair against all smaller at once.
+
+    With two, only pairs of two blocks. A set's map is as wide as a not much smaller set's, or twice as wide.
+    """
+    by_width: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: (r[3], r[1])):
+        by_width.setdefault(len(r[5]), []).append(r)
+    packed = {}
+    for width, group in by_width.items():
+        own, cls, comp, n, at = (np.array(x) for x in list(zip(*group, strict=True))[:5])
+        packed[width] = own, cls, comp, n, at, np.frombuffer(b"".join([r[5] for r in group]), np.uint64).reshape(len(group), -1)
+    left, right = [], []
+    for width, (own, cls, comp, n, at, maps) in packed.items():
+        for other in (width, width // 2):
+            if other not in packed:
+                continue
+            half = maps.shape[1] // 2
+            mine = maps if other == width else maps[:, :half] | maps[:, half:]
+            own_b, cls_b, comp_b, n_b, at_b, maps_b = packed[other]
+            first = np.searchsorted(n_b, -(-percent * n // 100), "left")
+            last = np.arange(len(n)) if other == width else np.searchsorted(n_b, n, "right")
+            for k in np.flatnonzero(last > first).tolist():
+                x = slice(int(first[k]), int(last[k]))
+                least = -(-percent * (n[k] + n_b[x]) // (100 + percent))
+                keep = (comp_b[x] != comp[k]) & (np.minimum(n[k] - at[k], n_b[x] - at_b[x]) >= least)
+                if two:
+                    keep &= own_b[x] != own[k]
+                where = np.flatnonzero(keep)
+                if not len(where):
+                    continue
+                theirs = maps_b[x][where]
+                only_mine, only_theirs = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (mine[k] & ~theirs, theirs & ~mine[k]))
+                spare = np.minimum(n[k] - only_mine, n_b[x][where] - only_theirs) - least[where]
+                where, spare = where[spare >= 0], spare[spare >= 0]
+                likely = where if nearest is None else where[np.argsort(-spare, kind="stable")[:nearest]]
+                left += np.minimum(cls[k], cls_b[x][likely]).tolist()
+                right += np.maximum(cls[k], cls_b[x][likely]).tolist()
+    return left, right
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,29 +348,29 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int, label: str) -> DataFrame:
-    """The pairs (a, b) whose sets overlap enough, by intersecting the sorted arrays."""
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int, label: str) -> DataFrame:
+    """The pairs (a, b) whose sets overlap enough, by intersecting the sorted arrays.
+
+    Only texts that may be the chosen one of a wanted class are cut into shingles again.
+    """
     pairs = write_table(pairs, f"{label}-likely")
-    place = F.pmod(F.xxhash64("cls"), F.lit(1 << FILTER_BITS))
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).select(place.alias("at"))
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    chosen = sets.where("bits IS NOT NULL").groupBy("cls").agg(F.min("h").alias("h"))
+    wanted = wanted.join(chosen, "cls").select(F.pmod("h", F.lit(1 << FILTER_BITS)).alias("at"))
     shared = docs.sparkSession.sparkContext.broadcast(bit_set(wanted, FILTER_BITS))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, 0):
+            at = batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)
+            likely = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for part in slices(likely, 1):
                 cls, sets = [], []
-                for text in part.column(0).to_pylist():
-                    hashes = shingle_set(text, words)
-                    this = class_of(hashes)[0]
-                    if this in seen:
-                        continue
-                    at = _spark_hash(this, xxhash) % (1 << FILTER_BITS)
-                    if shared.value[at >> 3] >> (at & 7) & 1:
-                        seen.add(this)
-                        cls.append(this)
+                for h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if h not in seen:
+                        seen.add(h)
+                        hashes = shingle_set(text, words)
+                        cls.append(class_of(hashes)[0])
                         sets.append(hashes.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "hashes"])
 
@@ -299,18 +383,13 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, perce
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    made = docs.select(col(text_col)).mapInArrow(make, "cls long, hashes binary")
+    made = docs.select(F.xxhash64(col(text_col)).alias("h"), col(text_col).cast("binary").alias("text")).mapInArrow(make, "cls long, hashes binary")
     sets = write_table(made, f"{label}-sets").dropDuplicates(["cls"])
     with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("set_b")), "b")
     return write_table(both.select("a", "b", "set_a", "set_b").mapInArrow(intersect, "a long, b long"), f"{label}-links")
 
 
-def _spark_hash(value: int, xxhash) -> int:
-    """What Spark's xxhash64 gives for a long."""
-    return xxhash.xxh64_intdigest(value.to_bytes(8, "little", signed=True), seed=42)
-
-
 def class_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """All links: pairs (a, b) of classes, and membership (doc_id, n, cls). Rows of one class are linked unless n is 0.
 
@@ -318,7 +397,7 @@ def class_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     sets, common = shingle_sets(docs, id_col, text_col, words)
     tiled = tiles(docs, common, text_col, words, percent)
-    links = verified(bounded(cross_pairs(tiled, None, percent), sets, percent), docs, text_col, words, percent, "all")
+    links = verified(cross_likely(tiled, None, sets, percent), sets, docs, text_col, words, percent, "all")
     return links, sets.select("doc_id", "n", "cls")
 
 
@@ -335,10 +414,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if clash.limit(1).count():
         raise ValueError("two sets share the first 64 bits of their hash; shingle another way (words) or split the input")
     tiled = tiles(docs, common, text_col, words, percent)
-    near = verified(bounded(star_pairs(tiled, percent), sets, percent), docs, text_col, words, percent, "star")
-    first = write_table(components(near), "first-components")
-    rest = verified(bounded(cross_pairs(tiled, first, percent), sets, percent), docs, text_col, words, percent, "cross")
-    parts = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
+    near = verified(bounded(star_pairs(tiled, percent), sets, percent), sets, docs, text_col, words, percent, "star")
+    parts = write_table(components(near), "components")
+    for nearest in (NEAREST, None):  # the likeliest of a large tile first, then all that is still apart
+        rest = verified(cross_likely(tiled, parts, sets, percent, nearest), sets, docs, text_col, words, percent, "cross")
+        parts = write_table(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)), "components")
     members = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = members.join(parts, members.cls == parts.node, "left").select("cls", "least", F.coalesce("component", "cls").alias("part"))
     smallest = named.groupBy("part").agg(F.min("least").alias("component_id"))
