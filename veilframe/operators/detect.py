@@ -101,7 +101,10 @@ def without(found: Column, terms: Sequence[str]) -> Column:
 
 def merged_whitelist(terms: Sequence[str]) -> list[str]:
     """The default terms and more, each once whatever its case."""
-    return [*{t.lower(): t for t in (*terms[::-1], *DEFAULT_WHITELIST[::-1])}.values()][::-1]
+    merged: dict[str, str] = {}
+    for t in (*DEFAULT_WHITELIST, *terms):
+        merged.setdefault(t.lower(), t)
+    return [*merged.values()]
 
 
 def with_entities(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, whitelist: Sequence[str] = (), least_confidence: float = 0.0) -> DataFrame:

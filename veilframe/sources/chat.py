@@ -74,7 +74,7 @@ def rebuild(df: DataFrame, fields: DataFrame, id_col: str = "request_id", body_c
 
     @F.pandas_udf("string")
     def put(bodies: pd.Series, paths: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([set_paths(b, list(p), list(t)) for b, p, t in zip(bodies, paths, texts, strict=True)], dtype=object)
+        return pd.Series([b if p is None else set_paths(b, list(p), list(t)) for b, p, t in zip(bodies, paths, texts, strict=True)], dtype=object)
 
     joined = df.join(own, F.col(id_col) == F.col("__id"), "left")
     body = F.when(F.col("__f").isNull(), F.col(body_col)).otherwise(put(F.col(body_col), F.col("__f.json_path"), F.col("__f.text")))
