@@ -1,34 +1,22 @@
-"""What the operators share: written intermediate tables, bounded Arrow batches, column access."""
+"""What the operators share: bounded Arrow batches, bit sets, column access, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, a laptop).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-#: Characters of text that one Python step works on at a time.
-CHUNK_CHARS = 1 << 20
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or LOCAL_CHECKPOINTS).rstrip("/")
+from veilframe.session import prepare
+from veilframe.session import shared_dir as checkpoint_dir
+from veilframe.session import written as write_table
 
+__all__ = ["CHUNK_CHARS", "bit_set", "checkpoint_dir", "col", "pieces", "prepare", "read_documents", "slices", "write_table"]
 
-def write_table(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/veilframe/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Characters of text that one Python step works on at a time.
+CHUNK_CHARS = 1 << 20
 
 
 def col(name: str) -> Column:
@@ -36,15 +24,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on this machine import the package from where the driver has it."""
-    environment = spark.sparkContext.environment
-    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if (root := str(Path(__file__).resolve().parents[2])) not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-    return spark
-
-
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import bpe, decontaminate, fingerprint, jaccard, langid, pii, quality, secret_scan, sharding, warc
+from veilframe.llm import bpe, decontaminate, fingerprint, jaccard, langid, oracles, pii, quality, secret_scan, sharding, warc
 from veilframe.llm.common import prepare, read_documents
 
 
@@ -88,6 +88,8 @@ _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrs
 _BENCH_WORDS = "regexp_extract_all(" + _ASCII_LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op4_secret_scan": oracles.SECRETS,
+    "op10_pii": oracles.PERSONAL,
     "op2_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
 s AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w),
