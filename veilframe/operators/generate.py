@@ -24,9 +24,8 @@ KEY_PREFIXES = ("sk-ant-", "sk-proj-", "sk-", "sk_live_", "sk_test_", "pk_live_"
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
-def seed(salt: str, entity_type: Column, original: Column, tries: Column | int = 0) -> Column:
-    tries = tries if isinstance(tries, Column) else F.lit(tries)
-    return F.md5(F.concat_ws("|", F.lit(salt), entity_type, original, tries.cast("string")))
+def seed(salt: str, entity_type: Column, original: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(salt), entity_type, original))
 
 
 def number(s: Column, name: str | Column, least: int, count: int) -> Column:
@@ -82,9 +81,9 @@ def network(salt: str, original: Column) -> Column:
     return F.concat_ws(".", *(number(s, f"o{k}", 1, 254).cast("string") for k in range(3)))
 
 
-def pseudonym(entity_type: Column, original: Column, salt: str = "", tries: Column | int = 0) -> Column:
+def pseudonym(entity_type: Column, original: Column, salt: str = "") -> Column:
     """What stands for original. Addresses of one network stay in one network, and keep their host octet."""
-    s = seed(salt, entity_type, original, tries)
+    s = seed(salt, entity_type, original)
     n = lambda name, least, count: number(s, name, least, count).cast("string")
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     first = pool_name(s, FIRST_NAMES, original)

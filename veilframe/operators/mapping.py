@@ -18,17 +18,14 @@ def build(found: DataFrame, salt: str = "", session: str = SESSION) -> DataFrame
     """(session_id, id, original_hash, original, pseudonym, entity_type) from entities (entity_type, value).
 
     An original has one pseudonym whatever its types; the first type by name decides. No pseudonym stands for two
-    originals, and none is an original: such values are drawn again, and numbered where that doesn't help.
+    originals, and none is an original: values that would are told apart by the original's hash behind them.
     """
     originals = found.groupBy(F.col("value").alias("original")).agg(F.min("entity_type").alias("entity_type")).withColumn("original_hash", original_hash(F.col("original")))
-    first = originals.withColumn("drawn", pseudonym(F.col("entity_type"), F.col("original"), salt))
+    drawn = originals.withColumn("drawn", pseudonym(F.col("entity_type"), F.col("original"), salt))
     taken = originals.select(F.col("original").alias("taken"))
-    again = Window.partitionBy("drawn").orderBy("original_hash")
-    ranked = first.join(taken, F.col("drawn") == F.col("taken"), "left").withColumn("tries", F.row_number().over(again) - 1 + F.when(F.col("taken").isNotNull(), 7919).otherwise(0))
-    second = ranked.withColumn("drawn", F.when(F.col("tries") > 0, pseudonym(F.col("entity_type"), F.col("original"), salt, F.col("tries"))).otherwise(F.col("drawn"))).drop("taken")
-    # a second draw meets a first one only for types of few values: those are numbered
-    ranked = second.join(taken, F.col("drawn") == F.col("taken"), "left").withColumn("n", F.row_number().over(Window.partitionBy("drawn").orderBy(F.col("tries"), "original_hash")) - 1 + F.when(F.col("taken").isNotNull(), 1).otherwise(0))
-    final = F.when(F.col("n") > 0, F.concat(F.col("drawn"), F.lit("~"), F.substring("original_hash", 1, 12))).otherwise(F.col("drawn"))
+    again = F.row_number().over(Window.partitionBy("drawn").orderBy("original_hash")) > 1
+    ranked = drawn.join(taken, F.col("drawn") == F.col("taken"), "left").withColumn("again", again | F.col("taken").isNotNull())
+    final = F.when(F.col("again"), F.concat("drawn", F.lit("~"), F.substring("original_hash", 1, 12))).otherwise(F.col("drawn"))
     return ranked.select(F.lit(session).alias("session_id"), F.conv(F.substring("original_hash", 1, 15), 16, 10).cast("long").alias("id"), "original_hash", "original", final.alias("pseudonym"), "entity_type")
 
 

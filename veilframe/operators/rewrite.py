@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,34 +69,44 @@ def put(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def restore(df: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
-    """df with pseudonyms in text_col replaced by their originals, leftmost-longest. A null text stays null.
+    """df with pseudonyms in text_col replaced by their originals, leftmost-longest. A null text stays null."""
+    text = F.col(text_col)
+    return df.withColumn(text_col, F.when(text.isNotNull(), _resolve()(text, _found(text, known.select("pseudonym", "original")), _nothing())))
+
+
+def _nothing() -> Column:
+    return F.array().cast("array<struct<s:int,n:int,o:string>>")
+
+
+def _found(text: Column, pairs: DataFrame, words: bool = False) -> Column:
+    """All matches of pairs (pseudonym, original) in text; with words, those that stand between word boundaries.
 
-    A mapping beyond AUTOMATON_BYTES is cut into parts by a hash. Each part's automaton adds its matches to a column,
-    and the last step resolves the matches of all parts together.
+    Pairs beyond AUTOMATON_BYTES are cut into parts by a hash; each part's automaton adds its matches to the array.
     """
-    spark = df.sparkSession
-    pairs = known.select("pseudonym", "original")
     size = pairs.agg(F.sum(F.octet_length("pseudonym") + F.octet_length("original") + 64).alias("n")).first().n or 0
     parts = max(1, -(-size // AUTOMATON_BYTES))
-    found = F.array().cast("array<struct<s:int,n:int,o:string>>")
+    found = _nothing()
     for k in range(parts):
         own = pairs.where(F.pmod(F.xxhash64("pseudonym"), F.lit(parts)) == k) if parts > 1 else pairs
-        held = spark.sparkContext.broadcast([(r.pseudonym, r.original) for r in own.collect()])  # AUTOMATON_BYTES bounds it
-        found = _search(held)(F.col(text_col), found)
-    return df.withColumn(text_col, F.when(F.col(text_col).isNotNull(), _resolve()(F.col(text_col), found)))
+        held = pairs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.select("pseudonym", "original").collect()])  # AUTOMATON_BYTES bounds it
+        found = _search(held, words)(text, found)
+    return found
 
 
-def _search(held):
+def _search(held, words: bool):
     cache = {}
 
+    def between(t: str, s: int, e: int) -> bool:
+        inside = lambda i: 0 <= i < len(t) and (t[i].isalnum() or t[i] == "_")
+        return inside(s - 1) != inside(s) and inside(e - 1) != inside(e)
+
     @F.pandas_udf("array<struct<s:int,n:int,o:string>>")
     def search(texts: pd.Series, before: pd.Series) -> pd.Series:
-        automaton = cache.get("a")
-        if automaton is None:
-            automaton = cache["a"] = _automaton(held.value)
-        out = []
+        if "a" not in cache:
+            cache["a"] = _automaton(held.value)
+        automaton, out = cache["a"], []
         for t, b in zip(texts, before, strict=True):
-            own = [{"s": e - n + 1, "n": n, "o": o} for e, (n, o) in automaton.iter(t)] if t and len(automaton) else []
+            own = [{"s": e - n + 1, "n": n, "o": o} for e, (n, o) in automaton.iter(t) if not words or between(t, e - n + 1, e + 1)] if t and len(automaton) else []
             out.append([*b, *own])
         return pd.Series(out)
 
@@ -107,16 +114,23 @@ def _search(held):
 
 
 def _resolve():
+    """Of found, what lies outside of the resolved matches of protected, leftmost-longest, put into the text."""
+
+    def resolved(found) -> list[tuple[int, int, str]]:
+        out, at = [], 0
+        for s, n, o in sorted((x["s"], -x["n"], x["o"]) for x in found):
+            if s >= at:
+                out.append((s, s - n, o))
+                at = s - n
+        return out
+
     @F.pandas_udf("string")
-    def resolve(texts: pd.Series, found: pd.Series) -> pd.Series:
+    def resolve(texts: pd.Series, found: pd.Series, protected: pd.Series) -> pd.Series:
         out = []
-        for t, f in zip(texts, found, strict=True):
-            spans, at = [], 0
-            for s, n, o in sorted((x["s"], -x["n"], x["o"]) for x in f):
-                if s >= at:
-                    spans.append((s, s - n, o))
-                    at = s - n
-            out.append(put(t or "", spans))
+        for t, f, p in zip(texts, found, protected, strict=True):
+            kept = resolved(p)
+            free = [x for x in f if not any(s < x["s"] + x["n"] and x["s"] < e for s, e, _ in kept)] if kept else f
+            out.append(put(t or "", resolved(free)))
         return pd.Series(out)
 
     return resolve
@@ -149,34 +163,12 @@ def unambiguous(pairs: DataFrame) -> DataFrame:
 def restore_fragments(df: DataFrame, known: DataFrame, text_col: str = "text", least: int = 2) -> DataFrame:
     """df with fragments of least characters or more replaced, as words of their own, outside of whole originals.
 
-    One pass over each gap between originals, so what is put in is never replaced again.
+    All are found before any is replaced, so what is put in is never replaced again.
     """
-    spark = df.sparkSession
-    pairs = [(r.pseudo_fragment, r.original_fragment) for r in unambiguous(fragments(known)).where(F.length("pseudo_fragment") >= least).collect()]
-    kept = [r.original for r in known.select("original").collect()]
-    held = spark.sparkContext.broadcast((dict(pairs), kept))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        to, originals = held.value
-        pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(to, key=len, reverse=True))) + r")\b") if to else None
-        automaton = _automaton([(o, o) for o in originals])
-        for batch in batches:
-            k = batch.schema.names.index(text_col)
-            out = []
-            for text in batch.column(k).to_pylist():
-                if text is None or pattern is None:
-                    out.append(text)
-                    continue
-                done, at = [], 0
-                for s, e, _ in [*leftmost_longest(text, automaton), (len(text), len(text), "")]:
-                    done += [pattern.sub(lambda m: to[m[0]], text[at:s]), text[s:e]]
-                    at = e
-                out.append("".join(done))
-            yield batch.set_column(k, batch.schema.field(k), pa.array(out, batch.schema.field(k).type))
-
-    return df.mapInArrow(run, df.schema)
+    text = F.col(text_col)
+    pairs = unambiguous(fragments(known)).where(F.length("pseudo_fragment") >= least).select(F.col("pseudo_fragment").alias("pseudonym"), F.col("original_fragment").alias("original"))
+    whole = known.select(F.col("original").alias("pseudonym"), "original")
+    return df.withColumn(text_col, F.when(text.isNotNull(), _resolve()(text, _found(text, pairs, words=True), _found(text, whole))))
 
 
 def build_mapping(df: DataFrame, id_col: str, text_col: str = "text", salt: str = "", **options) -> DataFrame:

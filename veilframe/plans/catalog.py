@@ -378,7 +378,7 @@ def stream_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = f"{session.shared_dir(spark)}/veilframe/stream-{uuid.uuid4().hex}"
     rows.write.parquet(f"{place}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    pairs = [(r.pseudonym, r.original) for r in known.select("pseudonym", "original").collect()]  # one session's
+    pairs = restore.session_pairs(known)
     source = spark.readStream.schema("stream_id long, seq long, text string, is_done boolean").parquet(f"{place}/in")
     sink = restore.restore_stream(source, pairs).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     sink.awaitTermination()

@@ -79,7 +79,7 @@ SELECT id, x.p AS p, x.s AS s, x.e AS e, x.t AS t, x.v AS v FROM (SELECT id, unn
 
 
 def seed(salt: str, kind: str, original: str) -> str:
-    return f"md5(concat_ws('|', '{salt}', {kind}, {original}, '0'))"
+    return f"md5(concat_ws('|', '{salt}', {kind}, {original}))"
 
 
 def number(s: str, name: str, least: int, count: int) -> str:

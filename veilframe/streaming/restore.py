@@ -73,6 +73,19 @@ class Restorer(StatefulProcessor):
         pass
 
 
+def session_pairs(known: DataFrame) -> list[tuple[str, str]]:
+    """The pairs of one session's mapping for restore_stream(), if they are few enough for each executor to hold.
+
+    A larger mapping is for rewrite.restore(), in foreachBatch over streams that have ended.
+    """
+    from pyspark.sql import functions as F
+
+    size = known.agg(F.sum(F.octet_length("pseudonym") + F.octet_length("original") + 64).alias("n")).first().n or 0
+    if size > rewrite.AUTOMATON_BYTES:
+        raise ValueError(f"a mapping of {size} bytes is too large to stream with; restore whole texts with rewrite.restore()")
+    return [(r.pseudonym, r.original) for r in known.select("pseudonym", "original").collect()]
+
+
 def restore_stream(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """A streaming frame (stream_id, seq, text, is_done) with pseudonyms of pairs restored; needs the RocksDB store.
 
