@@ -333,9 +333,15 @@ def segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.merge_segments(rows, "doc").withColumnRenamed("end", "end_")
 
 
-@query(None)
+def _segment_end(st: str) -> str:
+    window = f"regexp_replace(substr(text, {st} + 1, {labels.SEGMENT}), '[^\\s]*$', '')"
+    return f"CASE WHEN {st} + {labels.SEGMENT} >= length(text) THEN length(text) WHEN {window} = '' THEN {st} + {labels.SEGMENT} ELSE {st} + length({window}) END"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, text, 0 AS seg, CAST(0 AS BIGINT) AS st, CAST({_segment_end('0')} AS BIGINT) AS e FROM documents
+UNION ALL SELECT doc_id, text, seg + 1, nst, {_segment_end('nst')} FROM (SELECT *, greatest(CASE WHEN e > {labels.OVERLAP} THEN e - {labels.OVERLAP} ELSE e END, st + 1) AS nst FROM r WHERE e < length(text)))
+SELECT doc_id, CAST(seg AS INT) AS seg, CAST(st AS INT) AS global_offset, CAST(e - st AS INT) AS n_chars FROM r""")
 def segment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments end behind white space found backwards, each where the last one ends: no SQL for it; tests have brute force."""
     return labels.segments(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "seg", "global_offset", F.length("segment").alias("n_chars"))
 
 
