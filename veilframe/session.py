@@ -24,8 +24,14 @@ class Options:
     passthrough: bool = False
 
 
+#: Rows and bytes of the Arrow batches that go to Python workers: what a worker and its executor hold at a time.
+BATCH_ROWS, BATCH_BYTES = 4000, "8m"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers on this machine import the package from where the driver has it."""
+    """Bounds Arrow batches, and lets Python workers on this machine import the package from where the driver has it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if (root := str(Path(__file__).resolve().parents[1])) not in paths:
