@@ -111,3 +111,18 @@ def test_requests_and_responses(spark):
     assert json.loads(rows[12].body)["messages"][0]["content"][0]["type"] == "document"
     back = {r.request_id: json.loads(r.body) for r in chat.restore_responses(out.select("request_id", "body"), known).collect()}
     assert back[10]["messages"][0]["content"] == 'say "jean@test.fr" and 10.0.0.1'
+
+
+def test_passthrough_and_audit_events(spark):
+    from pyspark.sql import functions as F
+
+    from veilframe.streaming import audit
+
+    same, known, bad = chat.pseudonymize_requests(requests(spark), passthrough=True)
+    assert known is None
+    assert {r.request_id for r in bad.collect()} == {5}
+    assert {r.body for r in same.collect()} == {json.dumps(b) for i, _, b in BODIES if i != 5}
+    out, _, _ = chat.pseudonymize_requests(requests(spark, [(10, "/v1/messages", '{"model":"m","messages":[{"content":"a@b.io"}]}')]))
+    events = {r.path: r for r in audit.request_events(out.where("request_id = 10"), F.current_timestamp()).collect()}
+    assert (events["/v1/messages"].pii_count, events["/v1/messages"].model, events["/v1/messages"].provider) == (1, "m", "a")
+    assert [f.name for f in audit.request_events(out, F.current_timestamp()).schema] == [x.split()[0] for x in audit.SCHEMA.split(", ")]

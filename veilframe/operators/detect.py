@@ -93,6 +93,13 @@ def resolve(found: Column) -> Column:
     return F.array_sort(kept, by_start)
 
 
+def with_classified(found: Column, classified: Column) -> Column:
+    """Entities of rules, and those of a classifier that overlap none before them and are of a known type, by start."""
+    known = F.filter(classified, lambda x: x["entity_type"] != "UNKNOWN")
+    later = F.transform(known, lambda x: x.withField("priority", x["priority"] + len(RULES) + len(EXTRA_RULES)))
+    return resolve(F.concat(found, later))
+
+
 def without(found: Column, terms: Sequence[str]) -> Column:
     """Entities whose whole text isn't one of terms, whatever the case; what they kept out stays out."""
     terms = [t.lower() for t in terms]

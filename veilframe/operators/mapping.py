@@ -49,6 +49,18 @@ def decrypted(mapping: DataFrame, key: Column) -> DataFrame:
     return mapping.withColumn("original", opened).where("original IS NOT NULL").drop("encrypted_original")
 
 
+def lookup_original(df: DataFrame, mapping: DataFrame, value_col: str) -> DataFrame:
+    """df with the pseudonym of a column's values, null where there is none; values are matched by their hash."""
+    known = mapping.select(F.col("original_hash").alias("__h"), "pseudonym")
+    return df.join(known, original_hash(F.col(value_col)) == F.col("__h"), "left").drop("__h")
+
+
+def lookup_pseudonym(df: DataFrame, mapping: DataFrame, pseudonym_col: str, key: Column | None = None) -> DataFrame:
+    """df with the original of a column's pseudonyms, null where there is none; key opens an encrypted mapping."""
+    opened = decrypted(mapping, key) if key is not None else mapping
+    return df.join(opened.select(F.col("pseudonym").alias("__p"), "original"), F.col(pseudonym_col) == F.col("__p"), "left").drop("__p")
+
+
 def longest_first(mapping: DataFrame) -> DataFrame:
     return mapping.orderBy(F.desc(F.octet_length("pseudonym")), "pseudonym")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import session
-from veilframe.functions import types, validators
+from veilframe.functions import types, udtf, validators
 from veilframe.operators import detect, labels, mapping, rewrite
 from veilframe.plans import sql
 from veilframe.sources import chat
@@ -132,6 +132,14 @@ def entities_whitelisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(terms, F.lower("value") == F.col("term"), "left_anti").select("doc_id", "entity_type", "start", "value")
 
 
+@query(f"SELECT id AS doc_id, t AS entity_type, v AS value, s AS start FROM {_DOCS}")
+def udtf_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules as a table function in SQL."""
+    docs = table(spark, sf_dir, "documents")
+    udtf.register(spark)
+    return spark.sql("SELECT doc_id, e.entity_type, e.value, e.start FROM {docs}, LATERAL pii_entities(text) e", docs=docs)
+
+
 @query(f"SELECT t AS entity_type, count(*) AS n, count(DISTINCT id) AS n_docs FROM {_DOCS} GROUP BY t")
 def pii_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_entities(spark, sf_dir).groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
@@ -179,6 +187,15 @@ def mapping_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opened.select("original_hash", "original", (F.col("size") == F.octet_length("original") + 28).alias("sealed"))
 
 
+@query(f"SELECT id AS doc_id, s AS start, v AS value, {sql.pseudonym('t', 'v', SALT)} AS pseudonym, v AS original FROM {_DOCS}")
+def mapping_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ways through an encrypted mapping: from values by their hash, and back from pseudonyms."""
+    key = F.unhex(F.sha2(F.lit("a test key"), 256))
+    found = document_entities(spark, sf_dir).select("doc_id", "start", "value")
+    locked = session.written(mapping.encrypted(mapping.build(document_entities(spark, sf_dir), SALT), key), "mapping")
+    return mapping.lookup_pseudonym(mapping.lookup_original(found, locked, "value"), locked, "pseudonym", key)
+
+
 _PUT = f"""WITH x AS (SELECT id, list({{'s': s, 'e': e, 'to': {sql.pseudonym('t', 'v', SALT)}}} ORDER BY s) AS k FROM {_DOCS} GROUP BY id)
 SELECT doc_id, coalesce(len(k), 0) AS n_replaced, md5(CASE WHEN k IS NULL THEN text ELSE
 array_to_string(list_transform(range(1, len(k) + 1), lambda i: substr(text, CASE WHEN i = 1 THEN 1 ELSE k[i - 1].e + 1 END, k[i].s - CASE WHEN i = 1 THEN 0 ELSE k[i - 1].e END) || k[i].to), '') || substr(text, k[len(k)].e + 1) END) AS text_md5
@@ -322,6 +339,19 @@ def softmax_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "p.label_id", F.round("p.confidence", 6).alias("confidence"))
 
 
+CLASSIFIED = [("EMAIL", 3, 14, 0.95), ("GIVEN_NAME", 15, 20, 0.9), ("UNKNOWN", 21, 26, 0.9), ("CITY", 18, 26, 0.8)]
+
+
+@query("SELECT * FROM " + sql.values("entity_type, start, end_", [("EMAIL", 3, 14), ("GIVEN_NAME", 15, 20)]))
+def classifier_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An e-mail by rule, and of a classifier's entities the ones that overlap nothing before them."""
+    text = F.col("text")
+    rows = F.array(*(F.struct(F.lit(k).alias("priority"), F.lit(s).alias("s"), F.lit(e).alias("e"), F.lit(t).alias("entity_type"), F.substring(text, s + 1, e - s).alias("v"), F.lit(c).alias("confidence")) for k, (t, s, e, c) in enumerate(CLASSIFIED)))
+    one = spark.createDataFrame([("to me@here.org Marie Curie",)], "text string")
+    found = one.select(F.explode(detect.with_classified(detect.resolve(detect.candidates(text)), rows)).alias("x"))
+    return found.select("x.entity_type", F.col("x.s").alias("start"), F.col("x.e").alias("end_"))
+
+
 SEGMENT_ENTITIES = [(1, 0, 0, 10, "EMAIL", 0.9), (1, 0, 20, 30, "CITY", 0.8), (2, 0, 5, 15, "EMAIL", 0.8), (2, 1, 6, 15, "EMAIL", 0.92), (2, 1, 40, 44, "CITY", 0.8), (3, 0, 5, 15, "EMAIL", 0.9), (3, 1, 10, 18, "CITY", 0.9), (3, 1, 15, 20, "CITY", 0.8)]
 
 

@@ -115,15 +115,21 @@ def model_of(body):
     return F.get_json_object(body, "$.model")
 
 
-def pseudonymize_requests(df: DataFrame, known: DataFrame | None = None, salt: str = "", id_col: str = "request_id", path_col: str = "path", body_col: str = "body", **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+def pseudonymize_requests(df: DataFrame, known: DataFrame | None = None, salt: str = "", id_col: str = "request_id", path_col: str = "path", body_col: str = "body", passthrough: bool = False, **options) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """(requests with rewritten bodies and counts, the mapping used, quarantined requests).
 
+    With passthrough, bodies of known paths stay as they came, and count no entities.
+
     pii_count and pii_types (TYPE:n, sorted) are of the request. A body that isn't JSON, or a path of no provider, goes
     to the third table as it came, and never to the first: nothing that failed is passed on.
     """
     from veilframe.operators import mapping
 
     good = F.try_parse_json(F.col(body_col)).isNotNull() & provider_of(F.col(path_col)).isNotNull()
+    if passthrough:
+        routed = provider_of(F.col(path_col)).isNotNull()
+        same = df.where(routed).withColumn("pii_count", F.lit(0).cast("long")).withColumn("pii_types", F.array().cast("array<string>"))
+        return same, known, df.where(~routed)
     requests, bad = df.where(good), df.where(~F.coalesce(good, F.lit(False)))
     fields = text_fields(convert_documents(requests, body_col), id_col, path_col, body_col).withColumn("__field", F.concat_ws("/", F.col(id_col).cast("string"), "json_path"))
     found = detect.entities(fields, "__field", "text", **options)

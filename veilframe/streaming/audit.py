@@ -12,6 +12,25 @@ SCHEMA = (
 )
 
 
+def request_events(requests: DataFrame, timestamp, passthrough: bool = False, path_col: str = "path", body_col: str = "body") -> DataFrame:
+    """Events (SCHEMA) of what sources.chat.pseudonymize_requests() gives, at a time column."""
+    from veilframe.functions.validators import provider_of
+
+    values = {
+        "timestamp": timestamp,
+        "provider": provider_of(F.col(path_col)),
+        "path": F.col(path_col),
+        "direction": F.lit(REQUEST),
+        "pii_count": F.col("pii_count"),
+        "passthrough": F.lit(passthrough),
+        "body_size": F.octet_length(F.col(body_col)),
+        "model": F.get_json_object(F.col(body_col), "$.model"),
+        "pii_types": F.col("pii_types"),
+    }
+    named = [(x.split()[0], x.split()[1]) for x in SCHEMA.split(", ")]
+    return requests.select(*(values.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in named))
+
+
 def status_class(status):
     return F.when(status.isNull(), "none").when(status < 300, "2xx").when(status == 429, "429").when(status < 500, "4xx").otherwise("5xx")
 
