@@ -12,12 +12,13 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veilframe.llm.common import CHUNK_CHARS, col, pieces, slices
+from veilframe.llm.common import CHUNK_CHARS, col, pieces, release_memory, slices
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -47,7 +48,7 @@ def load(path: str, pattern: str):
         if len(token) > 1:
             left, right = _parts(token, rank, ranks)
             merges.append((shown(left), shown(right)))
-    model = models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=merges, cache_capacity=100_000, ignore_merges=True)
+    model = models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=merges, cache_capacity=1000, ignore_merges=True)
     tokenizer = Tokenizer(model)
     tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     table = [b""] * (max(ranks.values()) + 1)
@@ -76,7 +77,7 @@ class Encoder:
     Texts with white space beside white space are left in one piece.
     """
 
-    CHUNKS = 500_000
+    CHUNKS, KEPT, BATCH_CHARS = 250_000, 50_000, 1 << 17
     _NEXT = re.compile(r"\s\s")
     _CUT = re.compile(r"(?=[ \n])")
     _TAIL = re.compile(r"(?<=[A-Za-z])[!-/:-@\[-`{-~]+\Z")  # a match ends between a letter and these
@@ -95,7 +96,8 @@ class Encoder:
             for chunks in cut:
                 yield np.frombuffer(b"".join(map(ids.__getitem__, chunks)), np.int32)
             if len(ids) > self.CHUNKS:
-                ids.clear()
+                self.shrink()
+                ids = self.ids
 
     def encode_with_offsets(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each text the ids and (n, 2) their spans in characters; a token of part of a character spans it."""
@@ -103,11 +105,15 @@ class Encoder:
             for e in self.tokenizer.encode_batch(texts[a:b], add_special_tokens=False):
                 yield np.array(e.ids, np.int32), np.array(e.offsets, np.int32).reshape(-1, 2)
 
+    def shrink(self) -> None:
+        """Forgets all but the chunks met first, which are the likeliest to come again."""
+        self.ids = dict(islice(self.ids.items(), self.KEPT))
+
     def _learn(self, new: set[str]) -> None:
         tails = {c: m.start() for c in new if (m := self._TAIL.search(c))}
         parts = {x for c, at in tails.items() for x in (c[:at], c[at:])}
         whole = [c for c in (new - tails.keys()) | parts if c not in self.ids]
-        for x, y in pieces(whole, CHUNK_CHARS):
+        for x, y in pieces(whole, self.BATCH_CHARS):
             for c, e in zip(whole[x:y], self.tokenizer.encode_batch_fast(whole[x:y], add_special_tokens=False), strict=True):
                 self.ids[c] = array("i", e.ids).tobytes()
         for c, at in tails.items():
@@ -177,6 +183,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     columns.append(pa.array(back, pa.binary()))
                 names = ["doc_id", "ids", *["starts", "ends"] * offsets, *["decoded"] * decoded]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        encoder(path, pattern).shrink()
+        release_memory()
 
     return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from veilframe.session import prepare
 from veilframe.session import shared_dir as checkpoint_dir
 from veilframe.session import written as write_table
 
-__all__ = ["CHUNK_CHARS", "bit_set", "checkpoint_dir", "col", "pieces", "prepare", "read_documents", "slices", "write_table"]
+__all__ = ["CHUNK_CHARS", "bit_set", "checkpoint_dir", "col", "pieces", "prepare", "read_documents", "release_memory", "slices", "write_table"]
 
 #: Characters of text that one Python step works on at a time.
 CHUNK_CHARS = 1 << 20
@@ -57,6 +57,17 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 4 * CHUNK_CHARS) ->
     yield batch.slice(start)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system: a Python worker lives on, beside others, when its task is over."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def bit_set(places: DataFrame, bits: int) -> np.ndarray:
     """2 ** bits bits as bytes, lowest first, with those of places (at, from 0) set: bounded whatever the input."""
     size = 1 << 15  # of the maps that Spark builds

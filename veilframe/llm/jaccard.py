@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import bit_set, col, slices, write_table
+from veilframe.llm.common import bit_set, col, release_memory, slices, write_table
 from veilframe.llm.components import components
 
 WORDS = 5
@@ -39,7 +39,7 @@ FILTER_BITS = 24
 SMALL_TILE, BLOCK = 32, 4096
 #: Likeliest partners that a class of a large tile is compared with before all that are then still apart.
 NEAREST = 3
-_COMPACT = 1 << 21
+_COMPACT = 1 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -137,6 +137,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> tup
         if id_type is not None:
             keys, counts = counted.most(TASK_COMMON)
             yield _batch(pa.array([None], id_type), pa.array([0], pa.int64()), [-1], [0], [0], [None], [keys.view(np.int64)], [counts.astype(np.int32)])
+        release_memory()
 
     rows = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("h"), col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
     written = write_table(rows, "shingle-sets")
@@ -210,6 +211,7 @@ def tiles(docs: DataFrame, common: DataFrame, text_col: str, words: int, percent
                     place.append(np.arange(p, dtype=np.int32))
                 columns = [np.concatenate([np.empty(0, d), *x]) for x, d in ((token, np.int64), (cls, np.int64), (size, np.int32), (place, np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "cls", "n", "at"])
+        release_memory()
 
     prefixes = docs.select(col(text_col).cast("binary")).mapInArrow(run, "token long, cls long, n int, at int")
     by_token = Window.partitionBy("token")
@@ -373,6 +375,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
                         cls.append(class_of(hashes)[0])
                         sets.append(hashes.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "hashes"])
+        release_memory()
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -382,6 +385,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
                 if overlap(a, b) >= needed(len(a), len(b), percent):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+        release_memory()
 
     made = docs.select(F.xxhash64(col(text_col)).alias("h"), col(text_col).cast("binary").alias("text")).mapInArrow(make, "cls long, hashes binary")
     sets = write_table(made, f"{label}-sets").dropDuplicates(["cls"])

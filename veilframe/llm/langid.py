@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import col, pieces, slices
+from veilframe.llm.common import col, pieces, release_memory, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -209,6 +209,7 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
             for part in slices(batch, 1):
                 lang, score = classify(part.column(1).to_pylist(), network)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+        release_memory()
 
     return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, schema)
 
