@@ -13,7 +13,7 @@ from veilframe.session import prepare
 from veilframe.session import shared_dir as checkpoint_dir
 from veilframe.session import written as write_table
 
-__all__ = ["CHUNK_CHARS", "bit_set", "checkpoint_dir", "col", "pieces", "prepare", "read_documents", "release_memory", "slices", "write_table"]
+__all__ = ["CHUNK_CHARS", "bit_set", "checkpoint_dir", "col", "lowest", "pieces", "prepare", "read_documents", "release_memory", "slices", "write_table"]
 
 #: Characters of text that one Python step works on at a time.
 CHUNK_CHARS = 1 << 20
@@ -57,6 +57,14 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 4 * CHUNK_CHARS) ->
     yield batch.slice(start)
 
 
+def lowest(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash is in the lowest share of all: about that share of the keys, the same ones each time.
+
+    A sample of n rows is taken from a share a little larger, so that no task sends n rows of its own to be ranked.
+    """
+    return F.lit(True) if share >= 1 else hashed < int(-(2.0**63) + share * 2.0**64)
+
+
 def release_memory() -> None:
     """Gives freed memory back to the system: a Python worker lives on, beside others, when its task is over."""
     import ctypes

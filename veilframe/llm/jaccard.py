@@ -181,9 +181,21 @@ class _Counter:
         return self.keys[order], self.counts[order]
 
 
+def most_common(common: DataFrame) -> DataFrame:
+    """(key, n) of at most COMMON shingles, those above a count that a histogram of counts gives."""
+    common = write_table(common.where(F.col("n") >= LEAST_COMMON).withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "common")
+    left, least = COMMON, None
+    for r in sorted(common.groupBy("step").count().collect(), key=lambda r: -r.step):  # 16 steps for each doubling
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.step
+    return common.where(F.col("step") >= least if least is not None else F.lit(False)).select("key", "n")
+
+
 def tiles(docs: DataFrame, common: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     """(token, cls, n, at): each class at the shingles of its prefix that another class has in its prefix too."""
-    top = common.where(F.col("n") >= LEAST_COMMON).orderBy(F.desc("n"), "key").limit(COMMON).toArrow()  # COMMON bounds it
+    top = most_common(common).toArrow()  # COMMON bounds it
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     shared = docs.sparkSession.sparkContext.broadcast((keys[order], top.column("n").to_numpy()[order]))

@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import col, slices, write_table
+from veilframe.llm.common import col, lowest, slices, write_table
 
 #: Bound on the labelled documents that training collects, and on the distinct words of each.
 TRAIN_DOCS, TRAIN_WORDS = 6000, 2000
+#: Rows that labels may have for one document before fewer than TRAIN_DOCS are taken.
+LABELS_OF_ONE = 4
 #: Words that a model has at most, the least documents that hold one, and how far from chance it is (in deviations).
 MAX_WORDS, LEAST_DOCS, LEAST_Z = 512, 8, 4.5
 #: Bytes of the word beginnings that are features too, and log2 of the counters that choose among features.
@@ -123,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, targets: list[str], id_col: str = "d
     A model is None where all labels agree or there are none. A null label is left out.
     """
     label = [F.max(col(t)).alias(f"l{k}") for k, t in enumerate(targets)]
-    ids = labels.where(col(id_col).isNotNull()).groupBy(col(id_col).alias("i")).agg(*label)
+    share = 2 * max_docs * LABELS_OF_ONE / max(labels.count(), 1)
+    ids = labels.where(col(id_col).isNotNull() & lowest(F.xxhash64(col(id_col)), share)).groupBy(col(id_col).alias("i")).agg(*label)
     ids = ids.orderBy(F.xxhash64("i"), "i").limit(max_docs)  # max_docs bounds what is broadcast
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
