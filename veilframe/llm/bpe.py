@@ -77,7 +77,7 @@ class Encoder:
     Texts with white space beside white space are left in one piece.
     """
 
-    CHUNKS, KEPT, BATCH_CHARS = 250_000, 50_000, 1 << 17
+    CHUNKS, KEPT, BATCH_CHARS = 150_000, 40_000, 1 << 17
     _NEXT = re.compile(r"\s\s")
     _CUT = re.compile(r"(?=[ \n])")
     _TAIL = re.compile(r"(?<=[A-Za-z])[!-/:-@\[-`{-~]+\Z")  # a match ends between a letter and these

@@ -14,7 +14,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,17 +175,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
 
 def _stretches(index):
-    @F.pandas_udf("array<array<int>>")
-    def more(texts: pd.Series, before: pd.Series) -> pd.Series:
-        return pd.Series([[*map(list, index.value.find(words_of(t))[0]), *b] for t, b in zip(texts, before, strict=True)])
+    @F.arrow_udf("array<array<int>>")
+    def more(texts: pa.Array, before: pa.Array) -> pa.Array:
+        found = [[*map(list, index.value.find(words_of(t))[0]), *b] for t, b in zip(texts.to_pylist(), before.to_pylist(), strict=True)]
+        return pa.array(found, pa.list_(pa.list_(pa.int32())))
 
     return more
 
 
 def _judge():
-    @F.pandas_udf("boolean")
-    def contaminated(texts: pd.Series, stretches: pd.Series) -> pd.Series:
-        return pd.Series([_row(None, len(words_of(t)), _joined([(int(a), int(b)) for a, b in s]), [])[-1] for t, s in zip(texts, stretches, strict=True)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def contaminated(texts: pa.Array, stretches: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), stretches.to_pylist(), strict=True)
+        return pa.array([_row(None, len(words_of(t)), _joined([(a, b) for a, b in s]), [])[-1] for t, s in rows], pa.bool_())
 
     return contaminated
 

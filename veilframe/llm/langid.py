@@ -12,12 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import col, pieces, release_memory, slices
+from veilframe.llm.common import col, lowest, pieces, release_memory, slices
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -165,15 +164,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     size = F.length(text)
     span = F.greatest(size - WINDOW, F.lit(0))
     taken = [F.substring(text, (span * i / max(TRAIN_WINDOWS - 1, 1)).cast("int") + 1, F.lit(WINDOW)) for i in range(TRAIN_WINDOWS)]
-    usable = ~held_out(col(id_col)) & col(lang_col).isNotNull() & (size > 0)
-    rows = (
-        docs.where(usable)
-        .select(F.xxhash64(col(id_col)).alias("h"), col(id_col).alias("i"), col(lang_col).cast("string").alias("lang"), F.array(*taken).alias("w"))
-        .orderBy("h", "i", "lang", "w")
-        .limit(max_docs)
-        .select("lang", "w")
-        .collect()
-    )
+    hashed = F.xxhash64(col(id_col))
+    known = docs.where(~held_out(col(id_col)) & col(lang_col).isNotNull())
+    total = known.count()
+    share = 2 * max_docs / max(total, 1)
+    while True:
+        rows = (
+            known.where(lowest(hashed, share) & (size > 0))
+            .select(hashed.alias("h"), col(id_col).alias("i"), col(lang_col).cast("string").alias("lang"), F.array(*taken).alias("w"))
+            .orderBy("h", "i", "lang", "w")
+            .limit(max_docs)
+            .select("lang", "w")
+            .collect()
+        )
+        if len(rows) == max_docs or share >= 1:
+            break
+        share *= 4  # many texts are empty
     langs = sorted({r.lang for r in rows})
     pairs = [(w.encode()[:WINDOW], langs.index(r.lang)) for r in rows for w in dict.fromkeys(r.w) if _LETTER.search(w)]
     if not pairs:
@@ -217,15 +223,16 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
 def annotate(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score, as predict() has them, in place of columns of these names."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def told(texts: pd.Series) -> pd.DataFrame:
-        values = texts.tolist()
-        lang, score = [], []
-        for a, b in pieces([t or "" for t in values]):
-            found = classify(values[a:b], network)
-            lang += found[0]
-            score += found[1].tolist()
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+    @F.arrow_udf("lang_pred string, score double")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            values, lang, score = batch.to_pylist(), [], []
+            for a, b in pieces([t or "" for t in values]):
+                found = classify(values[a:b], network)
+                lang += found[0]
+                score += found[1].tolist()
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+        release_memory()
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.withColumn("told", told(col(text_col))).select(*map(col, kept), "told.lang_pred", "told.score")
