@@ -50,3 +50,17 @@ def test_labels_and_thresholds(spark):
 def test_sql_functions(spark):
     validators.register(spark)
     assert spark.sql("SELECT luhn_valid('4111 1111 1111 1111') AS a, luhn_valid('4111111111111112') AS b, format_size(1536) AS c").first() == (True, False, "1.5 KB")
+
+
+def test_intermediate_tables_are_written_and_cleaned(spark):
+    from pathlib import Path
+
+    from veilframe import session
+
+    session.clean(spark)
+    back = session.written(spark.range(3), "test")
+    assert back.count() == 3
+    (path,) = session._WRITTEN
+    assert Path(path.removeprefix("file:")).exists()
+    assert session.clean(spark) == 1
+    assert not Path(path.removeprefix("file:")).exists()

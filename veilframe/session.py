@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder.
 LOCAL_SHARED = "/tmp/checkpoints"
+_WRITTEN: list[str] = []
 
 
 @dataclass(frozen=True)
@@ -44,7 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again."""
+    """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/veilframe/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this process, once no frame needs them any more; their number."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
