@@ -131,6 +131,13 @@ def test_sanitising(spark, odd, empty):
     assert not any("@" in (r.text or "") for r in pii.sanitise(odd).collect() if r.doc_id in (8, 13))
 
 
+def test_words_reveal_an_entity_of_one_document(spark):
+    rows = [(0, "the quxorian desk, mail boss@corp.example the day")] + [(i, f"the day and the mail at the desk, only{'abcdefghijklmnopqrstuvwxyz'[i]} here") for i in range(1, 20)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == "the [TERM] desk, mail [EMAIL] the day"
+    assert all(out[i] == t for i, t in rows[1:])
+
+
 def test_fingerprints_with_edits(spark, odd):
     docs = spark.read.parquet(f"{cases.SF}/documents.parquet").repartition(5)
     rows = {r.doc_id: r for r in fingerprint.with_edits(docs).collect()}
