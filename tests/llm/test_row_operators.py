@@ -138,6 +138,19 @@ def test_words_reveal_an_entity_of_one_document(spark):
     assert all(out[i] == t for i, t in rows[1:])
 
 
+def test_words_reveal_an_entity_from_anywhere_in_its_document(spark):
+    filler = "the day and the mail at the desk " * 5
+    rows = [(0, f"quxorian {filler}boss@corp.example {filler}the Quxorian")] + [(i, f"{filler}only{'abcdefghijklmnopqrstuvwxyz'[i]}") for i in range(1, 20)]
+    rows += [(20, "+1 quxoria 2345678 me@here.example")]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == f"[TERM] {filler}[EMAIL] {filler}the [TERM]"
+    assert all(out[i] == t for i, t in rows[1:20])
+    assert out[20] == "+1 [TERM] 2345678 [EMAIL]"
+    both = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), remove=0.7).collect()}
+    assert both[0] == f" {filler}[EMAIL] {filler}the "
+    assert both[20] == "+1 [TERM] 2345678 [EMAIL]"
+
+
 def test_fingerprints_with_edits(spark, odd):
     docs = spark.read.parquet(f"{cases.SF}/documents.parquet").repartition(5)
     rows = {r.doc_id: r for r in fingerprint.with_edits(docs).collect()}
