@@ -74,6 +74,15 @@ def test_quality_on_unseen_documents(spark):
     assert sum(r.keep for r, q, t in judged if t) / sum(t for _, q, t in judged) < 0.15
 
 
+def test_words_late_in_a_long_document_are_learned(spark):
+    long = " ".join(f"a{i}" for i in range(2500))
+    docs = spark.createDataFrame([(i, f"{long} {'żółw' if i % 2 else 'zebra'}") for i in range(60)], "doc_id long, text string")
+    labels = spark.range(60).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality")
+    words = quality.fit(docs, labels, ["quality"])["quality"].words
+    assert words["żółw".encode()] > 0.5
+    assert words[b"zebra"] < -0.5
+
+
 def test_sites_shrink_towards_their_parents(spark):
     rows = [("big", f"big/{i % 2}", 2.0) for i in range(400)] + [("low", "low/a", -3.0)] * 200 + [("one", "one/x", -3.0)]
     scored = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, host string, path string, t double")

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import col, lowest, slices, write_table
 
-#: Bound on the labelled documents that training collects, and on the distinct words of each.
-TRAIN_DOCS, TRAIN_WORDS = 6000, 2000
+#: Bound on the labelled documents that training takes, and the partitions that they are worked on in.
+TRAIN_DOCS, TRAIN_PARTS = 6000, 8
 #: Rows that labels may have for one document before fewer than TRAIN_DOCS are taken.
 LABELS_OF_ONE = 4
 #: Words that a model has at most, the least documents that hold one, and how far from chance it is (in deviations).
@@ -85,25 +85,25 @@ class Model:
         return self.bias + sum(map(self.words.__getitem__, self.words.keys() & features_of(words))) + float(self.weights[np.arange(len(bins)), bins].sum())
 
 
-def train(samples: list[tuple[set[bytes], list[float], int]]) -> Model:
-    """Ridge logistic regression by Newton's method on telling words and binned form."""
+def place(feature: bytes) -> int:
+    """The counter of a feature."""
+    return zlib.crc32(feature) & ((1 << COUNTER_BITS) - 1)
+
+
+def train(samples: list[tuple[set[bytes], list[float], int]], told: dict[int, float]) -> Model:
+    """Ridge logistic regression by Newton's method on telling words and binned form.
+
+    told has the places of telling features and how far from chance each is; samples have their features of these places.
+    """
     y = np.array([s[2] for s in samples], float)
-    rate = y.mean()
-    place = lambda f: zlib.crc32(f) & ((1 << COUNTER_BITS) - 1)
-    held, with_one = np.zeros(1 << COUNTER_BITS, np.int32), np.zeros(1 << COUNTER_BITS, np.int32)
-    for words, _, label in samples:
-        at = np.unique(np.fromiter(map(place, features_of(words)), np.int64))
-        held[at] += 1
-        with_one[at] += label
-    z = np.where(held >= LEAST_DOCS, (with_one - held * rate) / np.sqrt(held * rate * (1 - rate) + 1e-9), 0)
-    told = {f for words, _, _ in samples for f in features_of(words) if abs(z[place(f)]) >= LEAST_Z}
-    chosen = sorted(told, key=lambda f: (-abs(z[place(f)]), f))[:MAX_WORDS]
+    known = {f for features, _, _ in samples for f in features if place(f) in told}
+    chosen = sorted(known, key=lambda f: (-told[place(f)], f))[:MAX_WORDS]
     column = {f: k for k, f in enumerate(chosen)}
     form = np.array([s[1] for s in samples])
     edges = np.quantile(form, np.arange(1, BINS) / BINS, axis=0).T
     x = np.zeros((len(samples), len(chosen) + form.shape[1] * BINS + 1))
-    for i, (words, _, _) in enumerate(samples):
-        x[i, [column[f] for f in column.keys() & features_of(words)]] = 1
+    for i, (features, _, _) in enumerate(samples):
+        x[i, [column[f] for f in column.keys() & features]] = 1
     for j in range(form.shape[1]):
         x[np.arange(len(samples)), len(chosen) + j * BINS + np.searchsorted(edges[j], form[:, j], "right")] = 1
     x[:, -1] = 1
@@ -119,6 +119,52 @@ def train(samples: list[tuple[set[bytes], list[float], int]]) -> Model:
     return Model(dict(zip(chosen, b[: len(chosen)].tolist(), strict=True)), edges, b[len(chosen) : -1].reshape(-1, BINS), float(b[-1]))
 
 
+def telling(sample: DataFrame, names: list[str]) -> dict[str, dict[int, float] | None]:
+    """For each label of names, the places of the MAX_WORDS most telling features of all words of sample, and how far from chance.
+
+    None where all labels agree. Documents are counted by place on the executors.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, with_one = (np.zeros((len(names), 1 << COUNTER_BITS), np.int32) for _ in range(2))
+        for batch in batches:
+            for words, *labels in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.unique(np.fromiter(map(place, features_of({*words.split()})), np.int64))
+                for k, y in enumerate(labels):
+                    if y is not None:
+                        held[k, at] += 1
+                        with_one[k, at] += y
+        used = np.flatnonzero(held.any(axis=0)).astype(np.int32)
+        for i in range(0, len(used), 1 << 16):
+            at = used[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[k, at]) for k in range(len(names)) for c in (held, with_one))], ["p", *(x for n in names for x in (f"h_{n}", f"o_{n}"))])
+
+    sums = sample.agg(*(x for n in names for x in (F.count(n).alias(f"n_{n}"), F.sum(n).alias(f"s_{n}"), F.min(n).alias(f"a_{n}"), F.max(n).alias(f"b_{n}")))).first()
+    schema = "p int, " + ", ".join(f"h_{n} int, o_{n} int" for n in names)
+    counted = sample.select("w", *names).mapInArrow(count, schema).groupBy("p").agg(*(F.sum(x).alias(x) for n in names for x in (f"h_{n}", f"o_{n}")))
+    counted = write_table(counted, "counters")
+    out: dict[str, dict[int, float] | None] = {}
+    for n in names:
+        out[n] = None
+        if sums[f"n_{n}"] and sums[f"a_{n}"] != sums[f"b_{n}"]:
+            rate, held = sums[f"s_{n}"] / sums[f"n_{n}"], F.col(f"h_{n}")
+            z = F.abs((F.col(f"o_{n}") - held * rate) / F.sqrt(held * rate * (1 - rate) + 1e-9))
+            rows = counted.where(held >= LEAST_DOCS).select("p", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "p").limit(MAX_WORDS).collect()
+            out[n] = {r.p: r.z for r in rows}
+    return out
+
+
+def features_at(sample: DataFrame, names: list[str], places: set[int]) -> DataFrame:
+    """(features, form, the labels of names) for each row of sample, with its features of places."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [[f for f in features_of({*w.split()}) if place(f) in places] for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.binary())), *batch.columns[1:]], ["features", *batch.schema.names[1:]])
+
+    return sample.select("w", "form", *names).mapInArrow(pick, "features array<binary>, form array<double>, " + ", ".join(f"{n} int" for n in names))
+
+
 def fit(docs: DataFrame, labels: DataFrame, targets: list[str], id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> dict[str, Model | None]:
     """A model of each target (0 or 1) in labels, from at most max_docs labelled documents, the lowest by a hash of the id.
 
@@ -134,18 +180,21 @@ def fit(docs: DataFrame, labels: DataFrame, targets: list[str], id_col: str = "d
             for part in slices(batch, 0):
                 words = [words_of(t) for t in part.column(0).to_pylist()]
                 form = [form_of(t, w) for t, w in zip(part.column(0).to_pylist(), words, strict=True)]
-                own = [b" ".join(sorted({*w})[:TRAIN_WORDS]) for w in words]
+                own = [b" ".join(sorted({*w})) for w in words]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(form, pa.list_(pa.float64())), *part.columns[1:]], ["w", "form", *part.schema.names[1:]])
 
     names = [f"l{k}" for k in range(len(targets))]
     rows = docs.where(col(text_col).isNotNull()).join(F.broadcast(ids), col(id_col) == F.col("i")).select(col(text_col).alias("text"), *(F.col(n).cast("int") for n in names))
-    got = rows.mapInArrow(take, "w binary, form array<double>, " + ", ".join(f"{n} int" for n in names)).orderBy("w", *names).limit(2 * max_docs).toArrow()
-    words = [{*w.split()} for w in got.column("w").to_pylist()]
+    got = rows.mapInArrow(take, "w binary, form array<double>, " + ", ".join(f"{n} int" for n in names)).orderBy("w", *names).limit(2 * max_docs)
+    sample = write_table(got.repartition(TRAIN_PARTS), "labelled")
+    told = telling(sample, names)
+    got = features_at(sample, names, {p for places in told.values() for p in places or ()}).toArrow()
+    features = [{*f} for f in got.column("features").to_pylist()]
     form = got.column("form").to_pylist()
     out: dict[str, Model | None] = {}
     for t, n in zip(targets, names, strict=True):
-        samples = [(w, f, y) for w, f, y in zip(words, form, got.column(n).to_pylist(), strict=True) if y is not None]
-        out[t] = train(samples) if len({s[2] for s in samples}) == 2 else None
+        samples = [(w, f, y) for w, f, y in zip(features, form, got.column(n).to_pylist(), strict=True) if y is not None]
+        out[t] = train(samples, told[n]) if told[n] is not None else None
     return out
 
 
