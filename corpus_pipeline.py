@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import bpe, common, decontaminate, jaccard, langid, pii
+from veilframe.llm.spans import row_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,11 +25,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document of the smallest id, once; documents without an id stay."""
+    """Keeps of each group of near duplicates the row of the smallest id, once; one without an id only where none has one.
+
+    Rows are told apart by id and text, so rows of one id that aren't near copies all stay.
+    """
     common.prepare(spark)
-    first = jaccard.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("first_id"))
-    kept = docs.join(first, F.col("doc_id") == F.col("first_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    both = row_key(F.col("doc_id"), F.coalesce("text", F.lit("")))
+    keyed = docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), both["a"].alias("a"), both["b"].alias("b")).alias("key"))
+    first = jaccard.near_duplicates(keyed, "key").where("doc_id = component_id").select(F.col("doc_id").alias("first"))
+    return keyed.join(first, F.col("key") == F.col("first"), "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,11 @@ def test_operators_that_keep_columns(spark):
         bad = decontaminate.contamination(odd, benchmark, block_bytes=size).where("contaminated").count()
         assert left.count() == odd.count() - bad < odd.count()
     assert pii.sanitise(odd).columns == odd.columns
+
+
+def test_rows_of_one_id_are_told_apart_and_rows_without_an_id_compared(spark):
+    a, b, c = ("one two three four five six", "a b c d e f g h", "no id here at all today")
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, b), (None, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, docs, cases.SF).collect()]
+    assert sorted(found, key=str) == sorted([(1, a), (1, b), (None, c)], key=str)
