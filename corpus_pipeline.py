@@ -20,7 +20,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found: without a letter, or without text."""
     common.prepare(spark)
-    found = langid.annotate(docs.select(*COLUMNS), langid.fit(docs))
+    network = langid.fit(docs)
+    if network is None:
+        return langid.with_letter(docs.select(*COLUMNS))
+    found = langid.annotate(docs.select(*COLUMNS), network)
     return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*COLUMNS)
 
 

@@ -80,3 +80,9 @@ def test_rows_of_one_id_are_told_apart_and_rows_without_an_id_compared(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     found = [(r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, docs, cases.SF).collect()]
     assert sorted(found, key=str) == sorted([(1, a), (1, b), (None, c)], key=str)
+
+
+def test_documents_stay_where_no_language_can_be_learned(spark):
+    rows = [(1, "some words"), (2, "é"), (3, "12 _ 3"), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, cases.SF).collect()} == {1, 2}

@@ -220,6 +220,17 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
     return docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def with_letter(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter: those for which a network finds a language."""
+
+    @F.arrow_udf("boolean")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([bool(t and _LETTER.search(t)) for t in batch.to_pylist()], pa.bool_())
+
+    return docs.where(told(col(text_col)))
+
+
 def annotate(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score, as predict() has them, in place of columns of these names."""
 
