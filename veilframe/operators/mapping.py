@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.operators.generate import pseudonym
+from veilframe.session import written
 
 SESSION = "default"
 
@@ -14,28 +17,64 @@ def original_hash(value: Column) -> Column:
     return F.sha2(value, 256)
 
 
+@lru_cache(maxsize=16)
+def _drawn(salt: str, gateway: int) -> Column:
+    """Building the expression takes seconds, so it is kept for as long as its JVM lives."""
+    return pseudonym(F.col("entity_type"), F.col("original"), salt)
+
+
+def _named(originals: DataFrame, salt: str, used: DataFrame | None = None) -> DataFrame:
+    """originals with a pseudonym each: none twice, none an original, none that used (a mapping) has in either column.
+
+    The original with the least hash has the name that was drawn, others the hash's first 12 digits behind it, and
+    where that is taken as well the whole hash. Names are counted by aggregates that combine before the shuffle, so a
+    name that many originals draw gathers nowhere.
+    """
+    drawn = _drawn(salt, id(originals.sparkSession.sparkContext._gateway))
+    rows = written(originals.withColumn("name", drawn), "drawn")
+    taken = rows.select(F.col("original").alias("taken"))
+    if used is not None:
+        taken = taken.unionByName(used.select(F.col("original").alias("taken"))).unionByName(used.select(F.col("pseudonym").alias("taken")))
+
+    def judged(rows: DataFrame, taken: DataFrame) -> DataFrame:
+        least = rows.groupBy(F.col("name").alias("n")).agg(F.min("original_hash").alias("least"))
+        both = rows.join(least, F.col("name") == F.col("n")).join(taken.distinct(), F.col("name") == F.col("taken"), "left")
+        return both.withColumn("free", (F.col("original_hash") == F.col("least")) & F.col("taken").isNull()).select(*rows.columns, "free")
+
+    columns = [*originals.columns, F.col("name").alias("pseudonym")]
+    first = written(judged(rows, taken), "named")
+    kept, rest = first.where("free"), first.where("NOT free").drop("free")
+    again = judged(rest.withColumn("drawn", F.col("name")).withColumn("name", F.concat("name", F.lit("~"), F.substring("original_hash", 1, 12))), taken.unionByName(kept.select(F.col("name").alias("taken"))))
+    last = again.withColumn("name", F.when(F.col("free"), F.col("name")).otherwise(F.concat("drawn", F.lit("~"), "original_hash")))
+    return kept.select(*columns).unionByName(last.select(*columns))
+
+
+def _originals(found: DataFrame) -> DataFrame:
+    rows = found.groupBy(F.col("value").alias("original")).agg(F.min("entity_type").alias("entity_type"))
+    return rows.withColumn("original_hash", original_hash(F.col("original")))
+
+
+def _mapping(named: DataFrame, session: str) -> DataFrame:
+    return named.select(F.lit(session).alias("session_id"), F.conv(F.substring("original_hash", 1, 15), 16, 10).cast("long").alias("id"), "original_hash", "original", "pseudonym", "entity_type")
+
+
 def build(found: DataFrame, salt: str = "", session: str = SESSION) -> DataFrame:
     """(session_id, id, original_hash, original, pseudonym, entity_type) from entities (entity_type, value).
 
     An original has one pseudonym whatever its types; the first type by name decides. No pseudonym stands for two
     originals, and none is an original: values that would are told apart by the original's hash behind them.
     """
-    originals = found.groupBy(F.col("value").alias("original")).agg(F.min("entity_type").alias("entity_type")).withColumn("original_hash", original_hash(F.col("original")))
-    drawn = originals.withColumn("drawn", pseudonym(F.col("entity_type"), F.col("original"), salt))
-    taken = originals.select(F.col("original").alias("taken"))
-    again = F.row_number().over(Window.partitionBy("drawn").orderBy("original_hash")) > 1
-    ranked = drawn.join(taken, F.col("drawn") == F.col("taken"), "left").withColumn("again", again | F.col("taken").isNotNull())
-    final = F.when(F.col("again"), F.concat("drawn", F.lit("~"), F.substring("original_hash", 1, 12))).otherwise(F.col("drawn"))
-    return ranked.select(F.lit(session).alias("session_id"), F.conv(F.substring("original_hash", 1, 15), 16, 10).cast("long").alias("id"), "original_hash", "original", final.alias("pseudonym"), "entity_type")
+    return _mapping(_named(_originals(found), salt), session)
 
 
 def extend(mapping: DataFrame, found: DataFrame, salt: str = "", session: str = SESSION) -> DataFrame:
-    """mapping with the originals of found that it lacks; what it has stays."""
+    """mapping with the originals of found that it lacks; what it has stays.
+
+    No new pseudonym is one that mapping has, or an original of either. A new original may be a pseudonym that mapping
+    has: it has one of its own, so that no text shows it as it came.
+    """
     new = found.join(mapping.select(F.col("original").alias("known")), F.col("value") == F.col("known"), "left_anti")
-    added = build(new, salt, session)
-    clash = added.join(mapping.select(F.col("pseudonym").alias("used")), F.col("pseudonym") == F.col("used"), "left")
-    renamed = F.when(F.col("used").isNotNull(), F.concat("pseudonym", F.lit("~"), F.substring("original_hash", 1, 12))).otherwise(F.col("pseudonym"))
-    return mapping.unionByName(clash.withColumn("pseudonym", renamed).drop("used"))
+    return mapping.unionByName(_mapping(_named(_originals(new), salt, mapping), session), allowMissingColumns=True)
 
 
 def encrypted(mapping: DataFrame, key: Column) -> DataFrame:

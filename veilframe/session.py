@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder.
+#: Used only where the session names no shared folder and all of it runs on this machine.
 LOCAL_SHARED = "/tmp/checkpoints"
 _WRITTEN: list[str] = []
 
@@ -41,19 +41,29 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", "") or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share. Without spark.checkpoint.dir there is one in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which clean() deletes."""
+    path = f"{shared_dir(spark)}/veilframe/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/veilframe/{label}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> int:
-    """Deletes the intermediate tables of this process, once no frame needs them any more; their number."""
+    """Deletes the intermediate tables, archives and stream folders of this process, once no frame needs them any more."""
     n = 0
     while _WRITTEN:
         path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.validators import provider_of
-from veilframe.operators import detect, rewrite
+from veilframe.operators import rewrite
+from veilframe.session import written
 
 BLOCK = "struct<type:string,text:string>"
 
@@ -47,14 +48,17 @@ def text_fields(df: DataFrame, id_col: str = "request_id", path_col: str = "path
     return rows.select(id_col, F.posexplode(fields).alias("field_ord", "x")).select(id_col, "field_ord", "x.json_path", "x.text")
 
 
-def set_paths(body: str | None, paths: list[str], texts: list[str]) -> str | None:
-    """The body with strings set at dotted paths; paths that aren't there are left out, unknown fields stay."""
+def set_paths(body: str | None, paths: list[str], texts: list[str], strict: bool = False) -> str | None:
+    """The body with strings set at dotted paths; unknown fields stay.
+
+    Paths that aren't there, or a body that isn't JSON, change nothing; with strict there is no body then.
+    """
     if body is None:
         return None
     try:
         root = json.loads(body)
     except ValueError:
-        return body
+        return None if strict else body
     for path, text in zip(paths, texts, strict=True):
         *way, last = [int(p) if p.isdigit() else p for p in path.split(".")]
         at = root
@@ -64,17 +68,18 @@ def set_paths(body: str | None, paths: list[str], texts: list[str]) -> str | Non
             at[last]  # noqa: B018
             at[last] = text
         except (KeyError, IndexError, TypeError):
-            continue
+            if strict:
+                return None
     return json.dumps(root, ensure_ascii=False, separators=(",", ":"))
 
 
-def rebuild(df: DataFrame, fields: DataFrame, id_col: str = "request_id", body_col: str = "body") -> DataFrame:
-    """df with the texts of fields (request_id, json_path, text) put into the bodies."""
+def rebuild(df: DataFrame, fields: DataFrame, id_col: str = "request_id", body_col: str = "body", strict: bool = False) -> DataFrame:
+    """df with the texts of fields (request_id, json_path, text) put into the bodies; strict as set_paths() has it."""
     own = fields.groupBy(F.col(id_col).alias("__id")).agg(F.array_sort(F.collect_list(F.struct("json_path", "text"))).alias("__f"))
 
     @F.pandas_udf("string")
     def put(bodies: pd.Series, paths: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([b if p is None else set_paths(b, list(p), list(t)) for b, p, t in zip(bodies, paths, texts, strict=True)], dtype=object)
+        return pd.Series([b if p is None else set_paths(b, list(p), list(t), strict) for b, p, t in zip(bodies, paths, texts, strict=True)], dtype=object)
 
     joined = df.join(own, F.col(id_col) == F.col("__id"), "left")
     body = F.when(F.col("__f").isNull(), F.col(body_col)).otherwise(put(F.col(body_col), F.col("__f.json_path"), F.col("__f.text")))
@@ -120,56 +125,97 @@ def pseudonymize_requests(df: DataFrame, known: DataFrame | None = None, salt: s
 
     With passthrough, bodies of known paths stay as they came, and count no entities.
 
-    pii_count and pii_types (TYPE:n, sorted) are of the request. A body that isn't JSON, or a path of no provider, goes
-    to the third table as it came, and never to the first: nothing that failed is passed on.
+    pii_count and pii_types (TYPE:n, sorted) are of the request. Entities that known lacks get pseudonyms, which the
+    mapping used has too. A request is known by its path and body: ids may be null or repeat. Bodies without entities
+    and documents stay as they came. A body that isn't JSON, one that can't be rewritten, and a path of no provider go
+    to the third table as they came, and never to the first: nothing that failed is passed on.
     """
-    from veilframe.operators import mapping
-
-    good = F.try_parse_json(F.col(body_col)).isNotNull() & provider_of(F.col(path_col)).isNotNull()
+    good = F.coalesce(F.try_parse_json(F.col(body_col)).isNotNull() & provider_of(F.col(path_col)).isNotNull(), F.lit(False))
     if passthrough:
         routed = provider_of(F.col(path_col)).isNotNull()
         same = df.where(routed).withColumn("pii_count", F.lit(0).cast("long")).withColumn("pii_types", F.array().cast("array<string>"))
         return same, known, df.where(~routed)
-    requests, bad = df.where(good), df.where(~F.coalesce(good, F.lit(False)))
-    fields = text_fields(convert_documents(requests, body_col), id_col, path_col, body_col).withColumn("__field", F.concat_ws("/", F.col(id_col).cast("string"), "json_path"))
-    found = detect.entities(fields, "__field", "text", **options)
-    known = known if known is not None else mapping.build(found, salt)
-    changed, _ = rewrite.pseudonymize(fields, known, "__field", "text", **options)
-    of_field = fields.select(F.col("__field").alias("f"), F.col(id_col).alias("r"))
-    by_type = found.join(of_field, F.col("__field") == F.col("f")).groupBy("r", "entity_type").agg(F.count("*").alias("n"))
-    counts = by_type.groupBy("r").agg(F.sum("n").alias("pii_count"), F.array_sort(F.collect_list(F.concat_ws(":", "entity_type", F.col("n").cast("string")))).alias("pii_types"))
-    body = rebuild(convert_documents(requests, body_col).drop("converted"), changed.select(id_col, "json_path", "text"), id_col, body_col)
-    out = body.join(counts, F.col(id_col) == F.col("r"), "left").drop("r").withColumn("pii_count", F.coalesce("pii_count", F.lit(0))).withColumn("pii_types", F.coalesce("pii_types", F.array().cast("array<string>")))
-    return out, known, bad
+    keyed = df.where(good).withColumn("__key", F.sha2(F.concat_ws("\n", path_col, body_col).cast("binary"), 256))
+    once = keyed.groupBy("__key").agg(F.first(path_col).alias("path"), F.first(body_col).alias("body"))
+    bodies = written(convert_documents(once), "bodies")
+    done = rewrite.run(text_fields(bodies, "__key"), "__key", "text", known, salt, **options)
+    by_type = done.replaced.groupBy("__key", "entity_type").agg(F.count("*").alias("n"))
+    counts = by_type.groupBy("__key").agg(F.sum("n").alias("pii_count"), F.array_sort(F.collect_list(F.concat_ws(":", "entity_type", F.col("n").cast("string")))).alias("pii_types"))
+    fields = done.changed.join(counts.select("__key"), "__key", "left_semi")
+    new = rebuild(bodies, fields, "__key", "body", strict=True).join(counts, "__key", "left").select("__key", F.col("body").alias("__body"), "pii_count", "pii_types")
+    new = written(new, "rewritten")
+    both = keyed.join(new, "__key")
+    body = lambda c: F.col("__body").alias(c) if c == body_col else F.col(c)
+    out = both.where("__body IS NOT NULL").select(*map(body, df.columns), F.coalesce("pii_count", F.lit(0)).alias("pii_count"), F.coalesce("pii_types", F.array().cast("array<string>")).alias("pii_types"))
+    failed = both.where("__body IS NULL").select(*df.columns)
+    return out, done.known, df.where(~good).unionByName(failed)
+
+
+def _json(body: str | None):
+    try:
+        return json.loads(body) if body else None
+    except ValueError:
+        return None
+
+
+def _strings(node) -> Iterator[str]:
+    """The strings of a JSON value, in order; keys aren't among them."""
+    if isinstance(node, str):
+        yield node
+    elif isinstance(node, (list, dict)):
+        for x in node.values() if isinstance(node, dict) else node:
+            yield from _strings(x)
+
+
+def _changed(node, texts: Iterator[str]):
+    """The value with its strings replaced in order."""
+    if isinstance(node, str):
+        return next(texts)
+    if isinstance(node, list):
+        return [_changed(x, texts) for x in node]
+    return {k: _changed(x, texts) for k, x in node.items()} if isinstance(node, dict) else node
+
+
+def _taken(body: str | None) -> list[str]:
+    """What is to be restored of a body: the strings of JSON, or else the text itself."""
+    root = _json(body)
+    return [body] if root is None and body else [*_strings(root)]
+
+
+def _put_back(body: str | None, texts: list[str]) -> str | None:
+    root = _json(body)
+    if root is None:
+        return texts[0] if texts else body
+    return json.dumps(_changed(root, iter(texts)), ensure_ascii=False, separators=(",", ":"))
 
 
 def restore_responses(df: DataFrame, known: DataFrame, body_col: str = "body") -> DataFrame:
-    """df with pseudonyms in the strings of JSON bodies replaced by originals: decoded first, encoded again after."""
-    spark = df.sparkSession
+    """df with pseudonyms replaced by originals in the strings of JSON bodies, which are decoded and encoded again.
+
+    Keys stay. A body that isn't JSON is restored as text. A mapping that is too large to send is joined with the
+    strings instead; the result is the same.
+    """
     pairs = known.select("pseudonym", "original")
-    size = pairs.agg(F.sum(F.octet_length("pseudonym") + F.octet_length("original") + 64).alias("n")).first().n or 0
-    if size > rewrite.AUTOMATON_BYTES:
-        escaped = known.withColumn("original", F.expr("substring(to_json(named_struct('v', original)), 6, length(to_json(named_struct('v', original))) - 7)"))
-        return rewrite.restore(df, escaped, body_col)
-    held = spark.sparkContext.broadcast([(r.pseudonym, r.original) for r in pairs.collect()])  # AUTOMATON_BYTES bounds it
+    if (held := rewrite._sent(pairs)) is not None:
+
+        @F.pandas_udf("string")
+        def put(bodies: pd.Series) -> pd.Series:
+            automaton = rewrite._automaton(held.value[0])
+            change = lambda t: rewrite.put(t, rewrite.leftmost_longest(t, automaton))
+            return pd.Series([_put_back(b, [change(t) for t in _taken(b)]) for b in bodies], dtype=object)
+
+        return df.withColumn(body_col, put(F.col(body_col)))
+
+    @F.pandas_udf("array<string>")
+    def take(bodies: pd.Series) -> pd.Series:
+        return pd.Series([_taken(b) for b in bodies], dtype=object)
 
     @F.pandas_udf("string")
-    def put(bodies: pd.Series) -> pd.Series:
-        automaton = rewrite._automaton(held.value)
-
-        def change(node):
-            if isinstance(node, str):
-                return rewrite.put(node, rewrite.leftmost_longest(node, automaton))
-            if isinstance(node, list):
-                return [change(x) for x in node]
-            return {k: change(x) for k, x in node.items()} if isinstance(node, dict) else node
-
-        out = []
-        for body in bodies:
-            try:
-                out.append(json.dumps(change(json.loads(body)), ensure_ascii=False, separators=(",", ":")) if body else body)
-            except ValueError:
-                out.append(rewrite.put(body, rewrite.leftmost_longest(body, automaton)))
-        return pd.Series(out, dtype=object)
-
-    return df.withColumn(body_col, put(F.col(body_col)))
+    def put_all(bodies: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([_put_back(b, list(t) if t is not None else []) for b, t in zip(bodies, texts, strict=True)], dtype=object)
+
+    keyed = df.withColumn("__key", F.sha2(F.col(body_col).cast("binary"), 256))
+    strings = keyed.where("__key IS NOT NULL").groupBy("__key").agg(F.first(body_col).alias("b")).select("__key", F.posexplode(take("b")).alias("i", "text"))
+    back = rewrite.restore(strings, known).groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("__x"))
+    joined = keyed.join(back, "__key", "left")
+    return joined.withColumn(body_col, put_all(F.col(body_col), F.col("__x.text"))).select(*df.columns)
