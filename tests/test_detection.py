@@ -12,8 +12,8 @@ def found(spark, text, **options):
 
 
 def test_email_place_and_bytes(spark):
-    assert found(spark, "xxx jean@test.fr yyy") == [("EMAIL", "jean@test.fr", 4, 16)]
-    row = detect.entities(spark.createDataFrame([(1, "éé jean@test.fr")], "id long, text string"), "id").first()
+    assert found(spark, "xxx lena@box.org yyy") == [("EMAIL", "lena@box.org", 4, 16)]
+    row = detect.entities(spark.createDataFrame([(1, "éé lena@box.org")], "id long, text string"), "id").first()
     assert (row.start, row.start_byte, row.confidence) == (3, 5, 0.9)
 
 
@@ -22,14 +22,14 @@ def test_email_place_and_bytes(spark):
     [
         ("a@b.io and c@d.io", ["EMAIL", "EMAIL"]),
         ("at 192.168.1.10 port 8080", ["IP_ADDRESS"]),
-        ("Version 1.2.3", []),
+        ("Release 4.5.6", []),
         ("06 12 34 56 78", ["PHONE_NUMBER"]),
         ("+33 6 12 34 56 78", ["PHONE_NUMBER"]),
         ("card 4111111111111111", ["CREDIT_CARD"]),
         ("iban FR7630006000011234567890189", ["IBAN"]),
         ("at 2001:db8::1", []),
         ("at 12:34:56", ["IP_ADDRESS"]),
-        ("jean@test.fr 10.1.2.3 06 12 34 56 78", ["EMAIL", "IP_ADDRESS", "PHONE_NUMBER"]),
+        ("lena@box.org 10.1.2.3 06 12 34 56 78", ["EMAIL", "IP_ADDRESS", "PHONE_NUMBER"]),
         ("", []),
     ],
 )
@@ -43,7 +43,7 @@ def test_phone_inside_digits_is_found(spark):
 
 def test_password_is_the_value_alone(spark):
     word = "pass" + "word"
-    assert found(spark, f"{word} = aZ9!xK2@mP5#qR8$ end") == [("PASSWORD", "aZ9!xK2@mP5#qR8$", 11, 27)]
+    assert found(spark, f"{word} = q7#Lm2$Vb9@Zt4!w end") == [("PASSWORD", "q7#Lm2$Vb9@Zt4!w", 11, 27)]
     assert found(spark, f"{word}: simple123") == []
 
 
@@ -56,7 +56,7 @@ def test_whitelist_leaves_gaps(spark):
 
 
 def test_confidence_and_extra_rules(spark):
-    assert found(spark, "jean@test.fr", least_confidence=0.92) == []
+    assert found(spark, "lena@box.org", least_confidence=0.92) == []
     text = 'token = "abcdefabcdefabcdef1a" +1 (555) 555-0100'
     assert [k for k, *_ in found(spark, text, rules=(*detect.RULES, *detect.EXTRA_RULES))] == ["API_KEY", "PHONE_NUMBER"]
 

@@ -40,8 +40,8 @@ def pdf(*pages: str, title: str | None = None, packed: bool = True) -> bytes:
 
 
 def test_docx():
-    data = docx(paragraph("Jean Du", "pont") + paragraph("a &amp;amp; b"), paragraph("noted"), '<c:p xmlns:c="c" xmlns:d="d"><d:creator>Ann</d:creator><d:title>Plan</d:title></c:p>')
-    assert documents.docx_text(data) == "[contenu]\nJean Dupont\na &amp; b\n\n[commentaires]\nnoted\n\n[métadonnées]\nauteur: Ann\ntitre: Plan"
+    data = docx(paragraph("Ines Kl", "ar") + paragraph("a &amp;amp; b"), paragraph("noted"), '<c:p xmlns:c="c" xmlns:d="d"><d:creator>Ann</d:creator><d:title>Plan</d:title></c:p>')
+    assert documents.docx_text(data) == "[contenu]\nInes Klar\na &amp; b\n\n[commentaires]\nnoted\n\n[métadonnées]\nauteur: Ann\ntitre: Plan"
     assert documents.docx_text(b"not a zip") is None
     assert documents.docx_text(docx()) is None
 
@@ -92,10 +92,10 @@ def test_set_paths_keeps_the_rest():
 
 
 def test_requests_and_responses(spark):
-    data = base64.b64encode(docx(paragraph("mail jean@test.fr"))).decode()
+    data = base64.b64encode(docx(paragraph("mail lena@box.org"))).decode()
     block = {"type": "document", "source": {"type": "base64", "media_type": documents.DOCX, "data": data}}
     more = [
-        (10, "/v1/messages", json.dumps({"model": "m", "keep": [1, None], "messages": [{"content": 'say "jean@test.fr" and 10.0.0.1'}, {"content": [block]}]})),
+        (10, "/v1/messages", json.dumps({"model": "m", "keep": [1, None], "messages": [{"content": 'say "lena@box.org" and 10.0.0.1'}, {"content": [block]}]})),
         (11, "/v1/messages", "not json"),
         (12, "/v1/messages", json.dumps({"messages": [{"content": [block | {"source": {"type": "url"}}]}]})),
     ]
@@ -103,14 +103,14 @@ def test_requests_and_responses(spark):
     rows = {r.request_id: r for r in out.collect()}
     assert {r.request_id for r in bad.collect()} == {5, 11}
     assert (rows[10].pii_count, rows[10].pii_types) == (3, ["EMAIL:2", "IP_ADDRESS:1"])
-    assert "jean@test.fr" not in rows[10].body
+    assert "lena@box.org" not in rows[10].body
     sent = json.loads(rows[10].body)
     assert (sent["model"], sent["keep"]) == ("m", [1, None])
     assert sent["messages"][1]["content"][0]["text"].startswith("[document DOCX]")
     assert rows[1].pii_count == 0
     assert json.loads(rows[12].body)["messages"][0]["content"][0]["type"] == "document"
     back = {r.request_id: json.loads(r.body) for r in chat.restore_responses(out.select("request_id", "body"), known).collect()}
-    assert back[10]["messages"][0]["content"] == 'say "jean@test.fr" and 10.0.0.1'
+    assert back[10]["messages"][0]["content"] == 'say "lena@box.org" and 10.0.0.1'
 
 
 def test_passthrough_and_audit_events(spark):

@@ -9,11 +9,11 @@ from hypothesis import strategies as st
 from veilframe.operators import rewrite
 from veilframe.streaming import audit, restore, sse
 
-PAIRS = [("Michel", "Paul"), ("Michel Martin", "Jean"), ("+33 6 00", "+33 1 99"), ("él", "x"), ("aa", "b")]
+PAIRS = [("Odile", "Rosa"), ("Odile Brun", "Ines"), ("+33 6 00", "+33 1 99"), ("él", "x"), ("aa", "b")]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="Michel artn+360éa", max_size=60) | st.lists(st.sampled_from([*[p for p, _ in PAIRS], " ", "Mi", "a"]), max_size=12).map("".join), st.lists(st.integers(0, 60), max_size=8))
+@given(st.text(alphabet="Odile Brun+360éa", max_size=60) | st.lists(st.sampled_from([*[p for p, _ in PAIRS], " ", "Od", "a"]), max_size=12).map("".join), st.lists(st.integers(0, 60), max_size=8))
 def test_buffer_equals_the_whole_text(text, cuts):
     whole = rewrite.put(text, rewrite.leftmost_longest(text, rewrite._automaton(PAIRS)))
     buffer, out, at = restore.Buffer(PAIRS), [], 0
@@ -52,14 +52,14 @@ def test_events(spark):
 def test_stateful_stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = "stream_id long, seq long, text string, is_done boolean"
-    batches = [[(1, 0, "say Mic", False), (2, 0, "a", False)], [(1, 1, "hel Mar", False), (2, 1, "a", True)], [(1, 2, "tin!", True)]]
+    batches = [[(1, 0, "say Odi", False), (2, 0, "a", False)], [(1, 1, "le Br", False), (2, 1, "a", True)], [(1, 2, "un!", True)]]
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = restore.restore_stream(source, PAIRS).writeStream.format("memory").queryName("restored").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     rows = spark.sql("SELECT * FROM restored ORDER BY stream_id, seq").collect()
-    assert {i: "".join(r.text for r in rows if r.stream_id == i) for i in (1, 2)} == {1: "say Jean!", 2: "b"}
+    assert {i: "".join(r.text for r in rows if r.stream_id == i) for i in (1, 2)} == {1: "say Ines!", 2: "b"}
     assert [r.is_done for r in rows] == [False, False, True, False, True]
 
 

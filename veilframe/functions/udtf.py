@@ -1,6 +1,6 @@
 """The rules as a table function, for LATERAL use in SQL: pii_entities(text).
 
-Catalyst plans with veilframe.operators.detect are faster; this is for SQL users, a row at a time in Python.
+Catalyst plans with veilframe.operators.detect are faster; this is for SQL users, in Python over Arrow batches.
 """
 
 from __future__ import annotations
@@ -60,4 +60,4 @@ def register(spark: SparkSession) -> None:
         def eval(self, text: str):
             yield from entities(text)
 
-    spark.udtf.register("pii_entities", udtf(PiiEntities, returnType=COLUMNS))
+    spark.udtf.register("pii_entities", udtf(PiiEntities, returnType=COLUMNS, useArrow=True))

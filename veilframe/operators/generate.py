@@ -19,6 +19,7 @@ LAST_NAMES = tuple(
     "Abadie Arnoux Aubry Barbier Baudin Bessac Bouvet Cadet Carlier Chapuis Clavel Cordier Dalbert Delmas Dornier Duclos Escande Fabre Faucher Ferrand Gallet Garnier Gibert Grangier "
     "Hamelin Hubert Jacquet Joubert Kerval Lacaze Lambot Leduc Lormier Magnan Marchal Maurin Moulin Naudet Olivet Pasquier Perrot Quenet Ravel Rigaud Sabatier Tessier Tourneur Vallet Verdier Vidal".split()
 )
+STREET, TOWN = "rue des Tilleuls", "59000 Lille"
 #: Beginnings of keys that a pseudonym keeps.
 KEY_PREFIXES = ("sk-ant-", "sk-proj-", "sk-", "sk_live_", "sk_test_", "pk_live_", "pk_test_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxb-", "xoxp-", "xoxa-", "xoxs-", "AKIA", "ASIA", "ABIA", "ACCA", "eyJ")
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -54,10 +55,6 @@ def pool_name(s: Column, pool: tuple[str, ...], original: Column) -> Column:
     return let(F.element_at(names, at + 1), lambda n: F.when(F.lower(n) == F.lower(original), F.element_at(names, (at + 1) % len(pool) + 1)).otherwise(n))
 
 
-def plain_lower(name: Column) -> Column:
-    return F.translate(F.lower(name), "éèêëàâäùûüïîôöç", "eeeeaaauuuiiooc")
-
-
 def card(s: Column) -> Column:
     return let(F.concat(F.lit("4"), some_digits(s, "c", 14)), lambda p: F.concat(p, luhn_check_digit(p)))
 
@@ -92,21 +89,19 @@ def pseudonym(entity_type: Column, original: Column, salt: str = "") -> Column:
     return (
         F.when(entity_type.isin("GIVEN_NAME", "PERSON_NAME"), first)
         .when(entity_type == "SURNAME", pool_name(s, LAST_NAMES, original))
-        .when(entity_type == "EMAIL", text(plain_lower(first), n("e", 10, 999990), "@example.com"))
+        .when(entity_type == "EMAIL", text(F.lower(first), n("e", 10, 999990), "@example.com"))
         .when(entity_type == "IP_ADDRESS", F.when(F.contains(original, F.lit(":")), v6).otherwise(v4))
         .when(entity_type.isin("PHONE_NUMBER", "NATIONAL_ID", "TAX_NUMBER", "DRIVER_LICENSE"), same_format(s, original))
         .when(entity_type == "CREDIT_CARD", card(s))
         .when(entity_type.isin("IBAN", "ACCOUNT_NUMBER"), iban(s))
         .when(entity_type.isin("API_KEY", "PASSWORD"), key(s, original))
-        .when(entity_type == "USERNAME", text("user_", plain_lower(first), n("u", 10, 89)))
-        .when(entity_type == "STREET", text(n("s", 1, 199), " rue de la Paix"))
+        .when(entity_type == "USERNAME", text("user_", F.lower(first), n("u", 10, 89)))
+        .when(entity_type == "STREET", text(n("s", 1, 199), f" {STREET}"))
         .when(entity_type == "CITY", text("Villeneuve-", n("v", 1, 99999)))
         .when(entity_type == "ZIP_CODE", n("z", 10000, 89999))
         .when(entity_type == "DATE_OF_BIRTH", F.format_string("%02d/%02d/%d", number(s, "d", 1, 27), number(s, "m", 1, 11), number(s, "y", 1950, 55)))
         .when(entity_type.isin("INTERNAL_URL", "SERVER_NAME"), text("https://internal-", n("h", 1, 99999), ".example.com"))
         .when(entity_type == "FILE_PATH", text("/path/to/file-", n("f", 1, 99999)))
-        .when(entity_type == "POSTAL_ADDRESS", text(n("p", 1, 199), " rue de la Paix, 75001 Paris"))
+        .when(entity_type == "POSTAL_ADDRESS", text(n("p", 1, 199), f" {STREET}, {TOWN}"))
         .otherwise(text("[PSEUDO-", n("x", 1000, 8999), "]"))
     )
-
-

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import session
 from veilframe.functions import types, udtf, validators
-from veilframe.operators import detect, labels, mapping, rewrite
-from veilframe.plans import sql
-from veilframe.sources import chat
+from veilframe.operators import detect, generate, labels, mapping, rewrite
+from veilframe.plans import files, sql
+from veilframe.sources import chat, documents
 from veilframe.streaming import audit, restore, sse
 
 FLAGSHIP = "pii_counts_by_lang_source"
@@ -34,7 +34,7 @@ def query(oracle: str | None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     session.prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return session.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def document_entities(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -77,13 +77,13 @@ KEYS = [
     ("clock", "at 12:34:56 now"),
     ("national_id", "nir 1 85 05 78 006 084 36 now"),
     ("phone", "tel 06 12 34 56 78 or +33 6 12 34 56 78"),
-    ("password", "pass" + "word: aZ9!xK2@mP5#qR8$ end"),
+    ("password", "pass" + "word: q7#Lm2$Vb9@Zt4!w end"),
     ("password_weak", "pass" + "word = simple123"),
-    ("iban", "pay FR76 3000 6000 0112 3456 7890 189 now"),
-    ("iban_wrong", "pay FR7630006000011234567890188 now"),
-    ("card", "card 4111 1111 1111 1111 now"),
-    ("mixed", "jean@test.fr at 10.1.2.3 or 06 12 34 56 78"),
-    ("none", "Version 1.2.3 of nothing"),
+    ("iban", "pay CH93 0076 2011 6238 5295 7 now"),
+    ("iban_wrong", "pay CH9300762011623852956 now"),
+    ("card", "card 4012 8888 8888 1881 now"),
+    ("mixed", "lena@box.org at 10.1.2.3 or 06 12 34 56 78"),
+    ("none", "Release 4.5.6 of nothing"),
 ]
 
 
@@ -94,9 +94,8 @@ def detect_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VALIDATED = [
-    "FR7630006000011234567890189", "FR76 3000 6000 0112 3456 7890 189", "DE89370400440532013000", "GB29NWBK60161331926819", "FR7630006000011234567890188", "FR76300", "1234567890",
-    "4111111111111111", "4111 1111 1111 1111", "5500005555555559", "378282246310005", "4111111111111112", "411111111", "aaaaaaa", "abcabc", "aZ9!xK2@mP5#qR", "P@ss" + "w0rd!Secure99",
-    "aZ9!xK2@mP5#qR8$", "pass" + "word", "bonjour", "12345678", "aZ9!xK", "", "éàçéàçABC123!?x",
+    "CH9300762011623852957", "BE68 5390 0754 7034", "nl91abna0417164300", "NL91ABNA0417164301", "CH93", "CH93-0076-2011", "0000", "4012888888881881", "5105 1051 0510 5100", "6011-0009-9013-9424",
+    "4012888888881882", "18", "0", "zzzz", "xyzxyzxyz", "Plum" + "&Tree7-Onyx", "q7#Lm2$Vb9@Zt4!w", "only lower words here", "UPPER9lower", "ñandú-ÉTÉ-2049-ŝip", " ", "",
 ]
 _VALIDATED = "(SELECT * FROM " + sql.values("value", [(v,) for v in VALIDATED]) + ")"
 
@@ -108,6 +107,7 @@ def _validated(name: str, use, oracle: str) -> None:
 
 _validated("validators_iban", validators.iban_valid, sql.iban("value"))
 _validated("validators_luhn", validators.luhn_valid, sql.luhn("value"))
+_validated("validators_luhn_short", lambda v: validators.luhn_valid(v, 2, 99), f"(length({sql.digits('value')}) BETWEEN 2 AND 99 AND {sql.luhn_sum(sql.digits('value'))} % 10 = 0)")
 _validated("validators_entropy", lambda v: F.round(validators.shannon_entropy(v), 6), f"CAST(round({sql.entropy('value')}, 6) AS DOUBLE)")
 _validated("validators_secret", validators.looks_like_secret, sql.secret("value"))
 
@@ -202,11 +202,8 @@ array_to_string(list_transform(range(1, len(k) + 1), lambda i: substr(text, CASE
 FROM documents LEFT JOIN x ON id = doc_id"""
 
 
-def _pseudonymized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    known = session.written(mapping.build(detect.entities(docs, "doc_id"), SALT), "mapping")
-    changed, replaced = rewrite.pseudonymize(docs, known, "doc_id")
-    return changed, replaced, known
+def _pseudonymized(spark: SparkSession, sf_dir: str) -> rewrite.Pseudonymized:
+    return rewrite.run(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", salt=SALT)
 
 
 @query(_PUT)
@@ -222,11 +219,67 @@ def restore_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.restore(changed, known).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def restore_documents_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way of a mapping that is too large to send: the texts' stretches meet it in a join."""
+    changed, _, known = _pseudonymized(spark, sf_dir)
+    found = rewrite._matched(changed, "text", known.select("pseudonym", "original"), "found")
+    back = rewrite._resolved(found, "text", F.col("found"), rewrite._nothing())
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"SELECT sha256(v) AS original_hash, {sql.pseudonym('t', 'v', SALT)} AS pseudonym, max(n % 2) = 0 AS old FROM (SELECT v, min(t) OVER (PARTITION BY v) AS t, CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END + CASE WHEN min(CASE WHEN id % 2 = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY v) = 0 AND id % 2 <> 0 THEN 1 ELSE 0 END AS n FROM {_DOCS}) GROUP BY 1, 2")
+def mapping_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session's mapping grows: what the documents of even ids need stays as it is, the others' originals are added."""
+    found = session.written(document_entities(spark, sf_dir), "entities")
+    known = session.written(mapping.build(found.where("doc_id % 2 = 0"), SALT).withColumn("old", F.lit(True)), "mapping")
+    return mapping.extend(known, found, SALT).select("original_hash", "pseudonym", F.coalesce("old", F.lit(False)).alias("old"))
+
+
+@query(f"SELECT {sql.pseudonym('t', 'v', SALT)} AS pseudonym FROM ({_MAPPING}) ORDER BY strlen(pseudonym) DESC, pseudonym LIMIT 50")
+def mapping_longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of the 50 longest pseudonyms."""
+    return mapping.longest_first(mapping.build(document_entities(spark, sf_dir), SALT)).select("pseudonym").limit(50)
+
+
+#: What a pseudonym of each type looks like; {digits} stands for the original with other digits.
+SHAPES = {
+    "GIVEN_NAME": "[A-Z][a-z]+", "PERSON_NAME": "[A-Z][a-z]+", "SURNAME": "[A-Z][a-z]+", "EMAIL": r"[a-z]+[0-9]+@example\.com", "IP_ADDRESS": r"10\.0\.[0-9]+\.[0-9]+", "PHONE_NUMBER": "Customer#[0-9]{9}",
+    "NATIONAL_ID": "Customer#[0-9]{9}", "TAX_NUMBER": "Customer#[0-9]{9}", "DRIVER_LICENSE": "Customer#[0-9]{9}", "CREDIT_CARD": "4[0-9]{15}", "IBAN": "FR[0-9]{25}", "ACCOUNT_NUMBER": "FR[0-9]{25}",
+    "API_KEY": "[A-Za-z0-9]{18}", "PASSWORD": "[A-Za-z0-9]{18}", "USERNAME": "user_[a-z]+[0-9]{2}", "STREET": "[0-9]+ rue des Tilleuls", "CITY": "Villeneuve-[0-9]+", "ZIP_CODE": "[0-9]{5}",
+    "DATE_OF_BIRTH": "[0-2][0-9]/[01][0-9]/(19|20)[0-9]{2}", "INTERNAL_URL": r"https://internal-[0-9]+\.example\.com", "SERVER_NAME": r"https://internal-[0-9]+\.example\.com", "FILE_PATH": "/path/to/file-[0-9]+",
+    "POSTAL_ADDRESS": "[0-9]+ rue des Tilleuls, 59000 Lille", "UNKNOWN": r"\[PSEUDO-[0-9]{4}\]",
+}
+
+
+@query(f"SELECT t AS entity_type, n, n AS n_shaped, n AS n_changed FROM (SELECT count(*) AS n FROM customer), {sql.values('t', [(t,) for t in types.TYPES])}")
+def generator_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's name as an original of every type: pseudonyms have the type's shape, and none is the original."""
+    kinds = spark.createDataFrame([(t, f"^{SHAPES[t]}$") for t in types.TYPES], "entity_type string, shape string")
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("original"))
+    drawn = names.join(F.broadcast(kinds)).withColumn("p", generate.pseudonym(F.col("entity_type"), F.col("original"), SALT))  # 24 types
+    return drawn.groupBy("entity_type").agg(F.count("*").alias("n"), F.count(F.when(F.rlike("p", F.col("shape")), 1)).alias("n_shaped"), F.count(F.when(F.col("p") != F.col("original"), 1)).alias("n_changed"))
+
+
+#: Rules of users, one with a pattern of its own.
+ORDER_RULE = detect.Rule("order", "FILE_PATH", r"\b[A-Z]{3}-[0-9]{4,}\b", 0.8)
+USER_RULES = (*detect.RULES, *detect.EXTRA_RULES, ORDER_RULE)
+
+
+@query(f"SELECT id AS doc_id, p AS priority, s AS start, v AS value FROM {sql.entities(chr(40) + 'SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || ' + chr(39) + ' order ABC-12345, token = abcdefabcdefabcdef1a, +1 (555) 555-0100' + chr(39) + ' ELSE ' + chr(39) * 2 + ' END AS text FROM documents' + chr(41), 'doc_id', 'text', USER_RULES)}")
+def user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with more rules than the usual ones; every other document also holds what these find."""
+    more = F.when(F.col("doc_id") % 2 == 0, "\n order ABC-12345, token = abcdefabcdefabcdef1a, +1 (555) 555-0100").otherwise("")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", more).alias("text"))
+    found = detect.with_entities(docs, rules=USER_RULES).select("doc_id", F.explode("entities").alias("x"))
+    return found.select("doc_id", F.col("x.priority").alias("priority"), F.col("x.s").alias("start"), F.col("x.v").alias("value"))
+
+
 KNOWN = [
     ("IP_ADDRESS", "10.20.30.40", "77.88.99.40"),
     ("IP_ADDRESS", "10.20.30.41", "77.88.99.41"),
     ("IP_ADDRESS", "11.20.31.5", "77.15.16.5"),
-    ("CREDIT_CARD", "4111111111111111", "4222333344445555"),
+    ("CREDIT_CARD", "4012888888881881", "4222333344445555"),
     ("NATIONAL_ID", "1 85 05 78 006 084 36", "2 71 05 33 104 217 90"),
     ("EMAIL", "a@b.example", "x@example.com"),
 ]
@@ -251,6 +304,19 @@ def fragments_unambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.unambiguous(rewrite.fragments(_known(spark)))
 
 
+_PIECES = "octet 88 and x88, group 3333, whole 10.20.30.40, 5 of 71"
+
+
+@query(f"SELECT * FROM {sql.values('least, text', [(1, 'octet 20 and x88, group 8888, whole 10.20.30.40, 5 of 85'), (2, 'octet 20 and x88, group 8888, whole 10.20.30.40, 5 of 85'), (3, 'octet 88 and x88, group 8888, whole 10.20.30.40, 5 of 71')])}")
+def fragments_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments in a text, from one, two and three characters on; whole originals and parts of words stay."""
+    out = None
+    for least in (1, 2, 3):
+        one = rewrite.restore_fragments(spark.createDataFrame([(least, _PIECES)], "least int, text string"), _known(spark), least=least)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- chat -------------------------------------------------------------------------------------------------------
 
 
@@ -277,10 +343,117 @@ def chat_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.text_fields(chat.rebuild(bodies, fields))
 
 
-@query("SELECT conv_id AS request_id, 'm-1' AS model, CAST(count(*) AS INT) AS n_messages, CAST(0 AS BIGINT) AS pii_count FROM conversations GROUP BY conv_id")
+#: What every request of private_bodies() holds, by type; all values are invented.
+PRIVATE = {"EMAIL": "ann.lee@post.example", "IP_ADDRESS": "10.9.8.7", "PHONE_NUMBER": "06 98 76 54 32", "CREDIT_CARD": "4012888888881881"}
+
+
+def _json_string(text) -> Column:
+    whole = F.to_json(F.struct(text.alias("v")))
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def private_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of all conversations with personal data in them: system prompts, strings and blocks of both providers."""
+    said = F.concat("text", F.when(F.col("turn") % 2 == 0, f" mail {PRIVATE['EMAIL']} at {PRIVATE['IP_ADDRESS']}").otherwise(f" call {PRIVATE['PHONE_NUMBER']}"))
+    content = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit('[{"type":"text","text":'), _json_string(said), F.lit('},{"type":"image","text":"a@b.example"}]'))).otherwise(_json_string(said))
+    message = F.concat(F.lit('{"role":'), _json_string(F.col("role")), F.lit(',"content":'), content, F.lit("}"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", message.alias("m")))).alias("t"))
+    prompt = f"card {PRIVATE['CREDIT_CARD']}"
+    system = F.when(F.col("conv_id") % 4 == 0, f'"{prompt}"').otherwise(f'[{{"type":"text","text":"{prompt}"}}]')
+    body = F.concat(F.lit('{"model":"m-1","system":'), system, F.lit(',"messages":['), F.array_join("t.m", ","), F.lit("]}"))
+    return turns.select(F.col("conv_id").alias("request_id"), F.when(F.col("conv_id") % 2 == 0, "/v1/messages").otherwise("/v1/chat/completions").alias("path"), body.alias("body"))
+
+
+def _private(of) -> str:
+    """SQL (conv_id, path, ord, text, n, t) of the fields of private_bodies(), with of(type) in place of each value."""
+    said = f"text || CASE WHEN turn % 2 = 0 THEN ' mail ' || {of('EMAIL')} || ' at ' || {of('IP_ADDRESS')} ELSE ' call ' || {of('PHONE_NUMBER')} END"
+    place = "'messages.' || (row_number() OVER w - 1) || '.content' || CASE WHEN conv_id % 3 = 0 THEN '.0.text' ELSE '' END"
+    system = f"SELECT DISTINCT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'system' ELSE 'system.0.text' END, 'card ' || {of('CREDIT_CARD')} FROM conversations WHERE conv_id % 2 = 0"
+    return f"(SELECT conv_id, {place} AS json_path, {said} AS text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text) UNION ALL {system})"
+
+
+def _pseudonym_of(t: str) -> str:
+    return sql.pseudonym(f"'{t}'", f"'{PRIVATE[t]}'", SALT)
+
+
+_PRIVATE_COUNTS = """(SELECT conv_id, sum(CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END) AS e, sum(CASE WHEN turn % 2 = 0 THEN 0 ELSE 1 END) AS p, CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS c FROM conversations GROUP BY conv_id)"""
+_COUNTED = f"""SELECT conv_id, CAST(2 * e + p + c AS BIGINT) AS pii_count, concat_ws(',', CASE WHEN c > 0 THEN 'CREDIT_CARD:' || c END, CASE WHEN e > 0 THEN 'EMAIL:' || e END, CASE WHEN e > 0 THEN 'IP_ADDRESS:' || e END, CASE WHEN p > 0 THEN 'PHONE_NUMBER:' || p END) AS pii_types FROM {_PRIVATE_COUNTS}"""
+
+
+@query(f"SELECT f.conv_id AS request_id, json_path, text, pii_count, pii_types FROM {_private(_pseudonym_of)} f JOIN ({_COUNTED}) c ON f.conv_id = c.conv_id")
 def chat_pseudonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _, _ = chat.pseudonymize_requests(chat_bodies(spark, sf_dir), salt=SALT)
-    return out.select("request_id", chat.model_of("body").alias("model"), F.size(F.from_json(F.get_json_object("body", "$.messages"), "array<string>")).alias("n_messages"), "pii_count")
+    """The fields of the bodies that go out, with the counts of their requests."""
+    out, _, _ = chat.pseudonymize_requests(private_bodies(spark, sf_dir), salt=SALT)
+    counts = out.select(F.col("request_id").alias("r"), "pii_count", F.array_join("pii_types", ",").alias("pii_types"))
+    return chat.text_fields(out).join(counts, F.col("request_id") == F.col("r")).select("request_id", "json_path", "text", "pii_count", "pii_types")
+
+
+@query("SELECT conv_id AS request_id, json_path, text FROM " + _private(lambda t: f"'{PRIVATE[t]}'"))
+def chat_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bodies restored as if they were responses."""
+    out, known, _ = chat.pseudonymize_requests(private_bodies(spark, sf_dir), salt=SALT)
+    return chat.text_fields(chat.restore_responses(out, known)).select("request_id", "json_path", "text")
+
+
+@query("SELECT DISTINCT conv_id AS request_id, TRUE AS unchanged, CAST(0 AS BIGINT) AS pii_count FROM conversations")
+def chat_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = private_bodies(spark, sf_dir).withColumn("sent", F.col("body"))
+    out, _, _ = chat.pseudonymize_requests(bodies, passthrough=True)
+    return out.select("request_id", (F.col("body") == F.col("sent")).alias("unchanged"), "pii_count")
+
+
+@query("SELECT DISTINCT conv_id AS request_id, conv_id % 5 > 1 AS passed FROM conversations")
+def chat_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth request is for an unknown path, and every fifth is cut off: neither is passed on."""
+    kind = F.col("request_id") % 5
+    bodies = private_bodies(spark, sf_dir).withColumn("path", F.when(kind == 0, "/v2/other").otherwise(F.col("path")))
+    bodies = bodies.withColumn("body", F.when(kind == 1, F.substring("body", 1, 40)).otherwise(F.col("body")))
+    out, _, bad = chat.pseudonymize_requests(bodies, salt=SALT)
+    return out.select("request_id", F.lit(True).alias("passed")).unionByName(bad.select("request_id", F.lit(False).alias("passed")))
+
+
+@query(f"SELECT CASE WHEN conv_id % 2 = 0 THEN 'a' ELSE 'b' END AS provider, 'm-1' AS model, '{audit.REQUEST}' AS direction, FALSE AS passthrough, pii_count, pii_types, count(*) AS n FROM ({_COUNTED}) GROUP BY ALL")
+def chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit events of the requests, counted."""
+    out, _, _ = chat.pseudonymize_requests(private_bodies(spark, sf_dir), salt=SALT)
+    events = audit.request_events(out, F.current_timestamp()).withColumn("pii_types", F.array_join("pii_types", ","))
+    return events.groupBy("provider", "model", "direction", "passthrough", "pii_count", "pii_types").agg(F.count("*").alias("n"))
+
+
+# --- documents --------------------------------------------------------------------------------------------------
+
+_PLAIN = "trim(regexp_replace(text, '[^!-~]+', ' ', 'g'))"
+
+
+def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, kind, media_type, data): every benchmark item as a DOCX and as a PDF."""
+    plain = F.trim(F.regexp_replace("text", "[^!-~]+", " "))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(m).alias("media_type")) for k, m in (("docx", documents.DOCX), ("pdf", documents.PDF)))))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", plain.alias("plain"), kinds.alias("x")).select("item_id", "plain", "x.*")
+
+    @F.pandas_udf("binary")
+    def made(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([files.docx(t) if k == "docx" else files.pdf(t) for t, k in zip(texts, kinds, strict=True)], dtype=object)
+
+    return rows.select("item_id", "kind", "media_type", made("plain", "kind").alias("data"))
+
+
+@query(f"SELECT item_id, kind, CASE kind WHEN 'docx' THEN '[document DOCX]' || chr(10) || '{documents.CONTENT}' ELSE '[document PDF]' || chr(10) || '[page 1]' END || chr(10) || {_PLAIN} AS text FROM benchmark, {sql.values('kind', [('docx',), ('pdf',)])}")
+def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return office_files(spark, sf_dir).select("item_id", "kind", documents.extract_text("data", "media_type").alias("text"))
+
+
+@query(f"SELECT item_id, kind, CAST(1 AS INT) AS converted, CASE kind WHEN 'docx' THEN '[document DOCX]' || chr(10) || '{documents.CONTENT}' ELSE '[document PDF]' || chr(10) || '[page 1]' END || chr(10) || {_PLAIN} AS text FROM benchmark, {sql.values('kind', [('docx',), ('pdf',)])}")
+def media_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files as base64 blocks of chat requests, which become text blocks."""
+    source = F.struct(F.lit("base64").alias("type"), "media_type", F.translate(F.base64("data"), "\r\n", "").alias("data"))
+    block = F.array(F.struct(F.lit("document").alias("type"), source.alias("source")))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), block.alias("content"))).alias("messages")))
+    bodies = office_files(spark, sf_dir).select(F.concat_ws(":", F.col("item_id").cast("string"), "kind").alias("request_id"), F.lit("/v1/messages").alias("path"), body.alias("body"))
+    done = chat.convert_documents(bodies)
+    counts = done.select(F.col("request_id").alias("r"), "converted")
+    id_ = lambda part: F.element_at(F.split("request_id", ":"), part)
+    return chat.text_fields(done).join(counts, F.col("request_id") == F.col("r")).select(id_(1).cast("long").alias("item_id"), id_(2).alias("kind"), "converted", "text")
 
 
 PATHS = [("/v1/messages",), ("/v1/messages/count_tokens",), ("/v1/chat/completions",), ("/v1/embeddings",), ("/v1/models/x",), ("/v2/messages",), ("/",), ("",)]
@@ -292,6 +465,14 @@ def route_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(PATHS, "path string").select("path", validators.provider_of(p).alias("provider"), validators.upstream_url(F.lit("https://up.example//"), p).alias("upstream"))
 
 
+@query(f"SELECT value, {sql.luhn('value')} AS luhn, CASE WHEN strlen(value) < 1024 THEN strlen(value) || ' B' END AS size FROM {_VALIDATED}")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The functions that SQL users have."""
+    validators.register(spark)
+    rows = spark.createDataFrame([(v,) for v in VALIDATED], "value string")
+    return spark.sql("SELECT value, luhn_valid(value) AS luhn, format_size(octet_length(value)) AS size FROM {rows}", rows=rows)
+
+
 URLS = [(u,) for u in ("https://api.example.com", "http://api.example.com/x", "http://localhost:80/", "http://LOCALHOST/", "https://127.0.0.1/", "http://0.0.0.0/", "http://10.1.2.3/", "http://192.168.0.1/", "http://172.16.0.1/", "http://172.32.0.1/", "http://169.254.169.254/latest", "ftp://api.example.com/", "http://[::1]/", "http://172.31.1.1/")]
 _HOST = "lower(regexp_extract(url, '^[A-Za-z]+://(\\[[^]]*\\]|[^/:?#]*)', 1))"
 _PRIVATE = " OR ".join(f"starts_with({_HOST}, '{p}')" for p in validators.PRIVATE_PREFIXES)
@@ -314,6 +495,14 @@ def format_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- token classifiers ------------------------------------------------------------------------------------------
 
+CONFIG = '{"id2label": {"0": "B-EMAIL", "3": "I-EMAIL", "2": "O"}}'
+
+
+@query(f"SELECT CAST(id AS INT) AS id, label FROM {sql.values('id, label', [(0, 'B-EMAIL'), (1, 'O'), (2, 'O'), (3, 'I-EMAIL')])}")
+def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([*enumerate(labels.label_map(CONFIG))], "id int, label string")
+
+
 LABELS = ["B-EMAIL", "I-EMAIL", "B-GIVENNAME", "I-GIVENNAME", "B-CITY", "O", "B-PASSWORD", "I-NEWKIND"]
 _TEXT = "Call Marie Curie in Paris, key hunter2 me@here.org ok"
 TOKENS = [(d, _TEXT, k, s, e, label, c) for d, cs in ((1, (0.9, 0.9, 0.8, 0.55, 0.99)), (2, (0.95, 0.4, 0.7, 0.45, 0.76))) for k, (s, e, label, c) in enumerate([(0, 0, 5, 1.0), (0, 4, 5, 0.99), (5, 10, 2, cs[0]), (11, 16, 2, cs[1]), (17, 19, 5, 0.9), (20, 25, 4, cs[2]), (31, 38, 6, cs[3]), (39, 41, 0, cs[4]), (41, 50, 1, cs[4]), (51, 53, 7, 0.9)])]
@@ -403,15 +592,23 @@ def sse_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sse.parse(sse.rebuild(events, "new").drop("event_type", "data", "text_delta", "is_done")).select("conv_id", "turn", "text_delta")
 
 
-@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE doc_id IN (SELECT id FROM " + _DOCS + ")")
+@query("SELECT conv_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id")
+def sse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's events in one piece of raw text, split again."""
+    raw = stream_chunks(spark, sf_dir).groupBy("conv_id", "provider").agg(F.array_join(F.array_sort(F.collect_list("chunk")), "").alias("raw"))
+    events = sse.parse(sse.split_events(raw, "raw"))
+    return events.groupBy("conv_id").agg(F.count("*").alias("n"), F.sum(F.length("text_delta")).cast("long").alias("n_chars"))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def stream_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pseudonymized documents with entities, cut into pieces and restored by a streaming query: the texts come back."""
-    changed, replaced, known = _pseudonymized(spark, sf_dir)
-    own = changed.join(replaced.select(F.col("doc_id").alias("d")).distinct(), F.col("doc_id") == F.col("d"), "left_semi")
+    """All pseudonymized documents, cut into pieces and restored by a streaming query: the texts come back."""
+    changed, _, known = _pseudonymized(spark, sf_dir)
     size = 37
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int")), lambda i: F.substring(F.col("text"), i * size + 1, F.lit(size)))
-    rows = own.select(F.col("doc_id").alias("stream_id"), F.size(pieces).alias("n"), F.posexplode(pieces).alias("seq", "text")).select("stream_id", F.col("seq").cast("long").alias("seq"), "text", (F.col("seq") == F.col("n") - 1).alias("is_done"))
-    place = f"{session.shared_dir(spark)}/veilframe/stream-{uuid.uuid4().hex}"
+    last = F.greatest(F.floor((F.length("text") - 1) / size), F.lit(0)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("text"), i * size + 1, F.lit(size)))
+    rows = changed.select(F.col("doc_id").alias("stream_id"), F.size(pieces).alias("n"), F.posexplode(pieces).alias("seq", "text")).select("stream_id", F.col("seq").cast("long").alias("seq"), "text", (F.col("seq") == F.col("n") - 1).alias("is_done"))
+    place = session.shared_path(spark, "stream")
     rows.write.parquet(f"{place}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     pairs = restore.session_pairs(known)
@@ -419,7 +616,8 @@ def stream_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     sink = restore.restore_stream(source, pairs).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     sink.awaitTermination()
     back = spark.read.parquet(f"{place}/out").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("p"))
-    return back.select(F.col("stream_id").alias("doc_id"), F.md5(F.array_join("p.text", "").cast("binary")).alias("text_md5"))
+    texts = back.select("stream_id", F.md5(F.array_join("p.text", "").cast("binary")).alias("text_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(texts, F.col("doc_id") == F.col("stream_id"), "left").select("doc_id", "text_md5")
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,16 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Bytes of a scan up to which its rows are dealt to all cores, however few row groups it has.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small scan dealt to all cores: a file of one row group would else be the work of one. Larger ones stay."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, label)

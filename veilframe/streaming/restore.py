@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from veilframe.operators import rewrite
 
@@ -44,35 +44,6 @@ class Buffer:
         return out
 
 
-class Restorer(StatefulProcessor):
-    """Rows (stream_id, seq, text, is_done) of a stream in, rows of the same kind out; a flush comes before the end."""
-
-    def __init__(self, pairs):
-        self.pairs = pairs
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("held", "held string")
-        self.buffer = Buffer(self.pairs)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        all_ = pd.concat(list(rows)).sort_values("seq")
-        self.buffer.held = self.state.get()[0] if self.state.exists() else ""
-        out = []
-        for seq, text, done in zip(all_["seq"], all_["text"], all_["is_done"], strict=True):
-            given = self.buffer.push(text if isinstance(text, str) else "")
-            if done:
-                given += self.buffer.flush()
-            out.append((key[0], seq, given, bool(done)))
-        if self.buffer.held:
-            self.state.update((self.buffer.held,))
-        else:
-            self.state.clear()
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "text", "is_done"])
-
-    def close(self) -> None:
-        pass
-
-
 def session_pairs(known: DataFrame) -> list[tuple[str, str]]:
     """The pairs of one session's mapping for restore_stream(), if they are few enough for each executor to hold.
 
@@ -87,8 +58,27 @@ def session_pairs(known: DataFrame) -> list[tuple[str, str]]:
 
 
 def restore_stream(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """A streaming frame (stream_id, seq, text, is_done) with pseudonyms of pairs restored; needs the RocksDB store.
+    """A streaming frame (stream_id, seq, text, is_done) with pseudonyms of pairs restored; a flush comes before the end.
 
-    pairs is one session's mapping, read once when the stream starts.
+    pairs is one session's mapping, read once when the stream starts. The state of a stream is the text that is held
+    back; streams reach a worker many to an Arrow batch.
     """
-    return df.groupBy("stream_id").transformWithStateInPandas(Restorer(pairs), OUTPUT, "Append", "None")
+    held, cache = df.sparkSession.sparkContext.broadcast(pairs), {}  # session_pairs() bounds it
+
+    def restored(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if "b" not in cache:
+            cache["b"] = Buffer(held.value)
+        buffer = cache["b"]
+        buffer.held = state.get[0] if state.exists else ""
+        rows = pd.concat(list(frames)).sort_values("seq")
+        out = []
+        for seq, text, done in zip(rows["seq"], rows["text"], rows["is_done"], strict=True):
+            given = buffer.push(text if isinstance(text, str) else "")
+            out.append((key[0], seq, given + buffer.flush() if done else given, bool(done)))
+        if buffer.held:
+            state.update((buffer.held,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "text", "is_done"])
+
+    return df.groupBy("stream_id").applyInPandasWithState(restored, OUTPUT, "held string", "append", GroupStateTimeout.NoTimeout)
