@@ -86,11 +86,61 @@ def test_words_late_in_a_long_document_are_learned(spark):
 def test_sites_shrink_towards_their_parents(spark):
     rows = [("big", f"big/{i % 2}", 2.0) for i in range(400)] + [("low", "low/a", -3.0)] * 200 + [("one", "one/x", -3.0)]
     scored = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, host string, path string, t double")
-    found = {r.path: r for r in quality.posteriors(scored, "t").collect()}
+    sites = quality.posteriors(scored, "t")
+    found = {r.path: r for r in sites.rows.collect()}
     p = lambda x: 1 / (1 + 2.718281828459045**-x)
     assert abs(found["low/a"].by_path - p(-3.0)) < 0.02
     assert abs(found["big/0"].by_path - p(2.0)) < 0.02
-    assert p(-3.0) < found["one/x"].by_path < found["one/x"].by_host + 1e-9 < found["one/x"].prior
+    assert p(-3.0) < found["one/x"].by_path < found["one/x"].by_host + 1e-9 < sites.prior
+
+
+def _weights(groups):
+    """Brute force: within over between variance, for {site: (parent, [values])}."""
+    n = sum(len(v) for _, v in groups.values())
+    within = sum((x - sum(v) / len(v)) ** 2 for _, v in groups.values() for x in v) / (n - len(groups))
+    b = d = 0.0
+    for parent in {q for q, _ in groups.values()}:
+        own = [v for q, v in groups.values() if q == parent]
+        size, mean = sum(map(len, own)), sum(map(sum, own)) / sum(map(len, own))
+        b += sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in own)
+        d += size - sum(len(v) ** 2 for v in own) / size
+    between = (b - (len(groups) - len({q for q, _ in groups.values()})) * within) / d
+    return max(1.0, within / max(between, 1e-6))
+
+
+def test_posteriors_and_odds_against_brute_force(spark, monkeypatch):
+    import math
+    import random
+
+    random.seed(3)
+    rows = [(i, f"h{i % 3}", f"p{i % 3}/{i % 7 % 4}", random.gauss(i % 3 - 1 + i % 7 % 4 / 2, 1.0)) for i in range(90)] + [(90, "solo", "solo/1", 0.3)]
+    scored = spark.createDataFrame(rows, "doc_id long, host string, path string, quality double").withColumn("toxic", __import__("pyspark").sql.functions.col("quality") * 0 - 3)
+    sigma = lambda x: 1 / (1 + math.exp(-x))
+    hosts, paths = {}, {}
+    for _, h, p, z in rows:
+        hosts.setdefault(h, (0, []))[1].append(sigma(z))
+        paths.setdefault(p, (h, []))[1].append(sigma(z))
+    k_host, k_path = _weights(hosts), _weights(paths)
+    prior = sum(sigma(z) for *_, z in rows) / len(rows)
+    sites = quality.posteriors(scored, "quality")
+    assert (sites.k_host, sites.k_path, sites.prior) == pytest.approx((k_host, k_path, prior))
+    monkeypatch.setattr(quality, "fit", lambda *a, **k: {"quality": None, "toxic": None})
+    monkeypatch.setattr(quality, "evidence", lambda docs, *a, **k: docs.select("doc_id", "host", "path", "quality", "toxic"))
+    shown = scored.withColumnsRenamed({}).selectExpr("*", "host AS source", "'x' AS lang", "'t' AS text")
+    got = {r.doc_id: r for r in quality.classify(shown, None).collect()}
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    for i, h, p, z in rows:
+        host, path = hosts[h][1], paths[p][1]
+        by_host = (sum(host) - sigma(z) + k_host * prior) / (len(host) - 1 + k_host)
+        by_path = (sum(path) - sigma(z) + k_path * by_host) / (len(path) - 1 + k_path)
+        assert got[i].quality == pytest.approx(sigma(z + logit(by_path) - logit(prior)))
+        assert got[i].host_quality == pytest.approx((sum(host) + k_host * prior) / (len(host) + k_host))
+
+
+def test_quality_takes_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 2} again", "s", "en", 1, 2, 3) for i in range(20)], "doc_id long, text string, source string, lang string, i int, l0 int, l1 int")
+    labels = spark.range(20).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "0 AS toxic")
+    assert quality.classify(docs, labels).count() == 20
 
 
 def test_quality_of_odd_documents(spark):

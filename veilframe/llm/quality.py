@@ -3,7 +3,7 @@
 A logistic model of words and form gives each document its evidence. Documents' evidence is averaged by host and by
 path, and each average is shrunk: a path's towards its host's, a host's towards the mean of all. How much follows
 from the data: the variance within sites against the variance between them (method of moments). A document's
-log-odds then move by as much as its path's differ from the mean of all.
+log-odds then move by as much as its path's, without the document itself, differ from the mean of all.
 """
 
 from __future__ import annotations
@@ -168,7 +168,8 @@ def features_at(sample: DataFrame, names: list[str], places: set[int]) -> DataFr
 def fit(docs: DataFrame, labels: DataFrame, targets: list[str], id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> dict[str, Model | None]:
     """A model of each target (0 or 1) in labels, from at most max_docs labelled documents, the lowest by a hash of the id.
 
-    A model is None where all labels agree or there are none. A null label is left out.
+    A model is None where all labels agree or there are none. A null label is left out; of labels of one document that
+    disagree the larger counts.
     """
     label = [F.max(col(t)).alias(f"l{k}") for k, t in enumerate(targets)]
     share = 2 * max_docs * LABELS_OF_ONE / max(labels.count(), 1)
@@ -184,8 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame, targets: list[str], id_col: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(form, pa.list_(pa.float64())), *part.columns[1:]], ["w", "form", *part.schema.names[1:]])
 
     names = [f"l{k}" for k in range(len(targets))]
-    rows = docs.where(col(text_col).isNotNull()).join(F.broadcast(ids), col(id_col) == F.col("i")).select(col(text_col).alias("text"), *(F.col(n).cast("int") for n in names))
-    got = rows.mapInArrow(take, "w binary, form array<double>, " + ", ".join(f"{n} int" for n in names)).orderBy("w", *names).limit(2 * max_docs)
+    texts = docs.where(col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(ids), F.col("id") == F.col("i")).select("text", *(F.col(n).cast("int") for n in names))
+    got = rows.mapInArrow(take, "w binary, form array<double>, " + ", ".join(f"{n} int" for n in names)).orderBy(F.xxhash64("w"), "w", *names).limit(2 * max_docs)
     sample = write_table(got.repartition(TRAIN_PARTS), "labelled")
     told = telling(sample, names)
     got = features_at(sample, names, {p for places in told.values() for p in places or ()}).toArrow()
@@ -218,15 +220,20 @@ def evidence(docs: DataFrame, models: dict[str, Model | None], keep: dict[str, C
     return rows.mapInArrow(run, schema)
 
 
-def _moments(sites: DataFrame) -> float:
-    """The weight, in documents, of the level above: variance within sites by variance between them."""
+def _moments(sites: DataFrame, parent: Column) -> float:
+    """The weight, in documents, of the level above: variance within sites by variance between them.
+
+    Sites (n, s, q: number, sum and sum of squares) differ around the mean of their own parent, so that what parents
+    differ in isn't counted again.
+    """
     n, mean = F.col("n"), F.col("s") / F.col("n")
-    within = F.sum(F.col("q") - F.col("s") * mean) / F.greatest(F.sum(n - 1), F.lit(1))
-    r = sites.agg(within.alias("within"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * mean).alias("sm"), F.sum(n * n).alias("nn"), F.count("*").alias("k")).first()
-    if not r.n or r.k < 2 or not r.within:
+    sums = sites.groupBy(parent.alias("parent")).agg(F.sum(F.col("q") - F.col("s") * mean).alias("w"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * mean).alias("sm"), F.sum(n * n).alias("nn"), F.count("*").alias("k"))
+    r = sums.agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.sum(F.col("sm") - F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum(F.col("n") - F.col("nn") / F.col("n")).alias("d"), F.sum("k").alias("k"), F.count("*").alias("h")).first()
+    if not r.n or r.k == r.h or r.n == r.k or r.w <= 0 or r.d <= 0:
         return 1.0
-    between = (r.sm - r.s * r.s / r.n - (r.k - 1) * r.within) / max(r.n - r.nn / r.n, 1e-9)
-    return max(1.0, r.within / max(between, 1e-6))
+    within = r.w / (r.n - r.k)
+    between = (r.b - (r.k - r.h) * within) / r.d
+    return max(1.0, within / max(between, 1e-6))
 
 
 def _logit(p: Column) -> Column:
@@ -237,8 +244,23 @@ def _clipped(p: Column) -> Column:
     return F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
 
 
-def posteriors(scored: DataFrame, target: str) -> DataFrame:
-    """(host, path, prior, by_host, by_path): shrunk mean probabilities of each path, of its host and of all.
+@dataclass
+class Sites:
+    """rows: (host, path, n, s, host_n, host_s, by_host, by_path), a row for each path; the mean of all and the weights."""
+
+    rows: DataFrame
+    prior: float
+    k_host: float
+    k_path: float
+
+    def without(self, p: Column) -> Column:
+        """What a path's probability would be without one of its documents, whose own is p."""
+        by_host = (F.col("host_s") - p + self.k_host * self.prior) / (F.col("host_n") - 1 + self.k_host)
+        return (F.col("s") - p + self.k_path * by_host) / (F.col("n") - 1 + self.k_path)
+
+
+def posteriors(scored: DataFrame, target: str) -> Sites:
+    """Shrunk mean probabilities of each path (by_path), towards those of its host (by_host), towards that of all.
 
     Three aggregates, each of sums that combine before the shuffle; hosts are aggregated from paths.
     """
@@ -247,17 +269,19 @@ def posteriors(scored: DataFrame, target: str) -> DataFrame:
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     whole = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     prior = whole.s / whole.n if whole.n else 0.5
-    k_host, k_path = _moments(hosts), _moments(paths)
-    by_host = hosts.select(F.col("host").alias("h"), ((F.col("s") + k_host * prior) / (F.col("n") + k_host)).alias("by_host"))
-    joined = paths.join(by_host, F.col("host").eqNullSafe(F.col("h")))
-    return joined.select("host", "path", F.lit(prior).alias("prior"), "by_host", ((F.col("s") + k_path * F.col("by_host")) / (F.col("n") + k_path)).alias("by_path"))
+    k_host, k_path = _moments(hosts, F.lit(0)), _moments(paths, F.col("host"))
+    above = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("s").alias("host_s"))
+    joined = paths.join(above, F.col("host").eqNullSafe(F.col("h")))
+    by_host = (F.col("host_s") + k_host * prior) / (F.col("host_n") + k_host)
+    rows = joined.withColumn("by_host", by_host).withColumn("by_path", (F.col("s") + k_path * F.col("by_host")) / (F.col("n") + k_path))
+    return Sites(rows.select("host", "path", "n", "s", "host_n", "host_s", "by_host", "by_path"), prior, k_host, k_path)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_cols: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """(doc_id, quality, toxicity, host_quality, path_quality, keep) for each row of docs.
 
-    quality and toxicity are probabilities of the labels of these names, from the document's text and its site;
-    keep: quality is KEEP_QUALITY or more and toxicity below KEEP_TOXICITY.
+    quality and toxicity are probabilities of the labels of these names, from the document's text and from the other
+    documents of its path and host; host_quality and path_quality are of all documents there. keep: quality is KEEP_QUALITY or more and toxicity below KEEP_TOXICITY.
 
     A null or empty text has no evidence of its own (the log-odds of its site alone). A null host or path is a
     site like others. Without labels of both kinds a target has even odds. Null ids and repeated rows are kept. Other
@@ -268,8 +292,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = write_table(evidence(docs, models, {"doc_id": col(id_col), "host": F.coalesce(col(host_col).cast("string"), F.lit("")), "path": path}, text_col), "evidence")
     found = scored
     for t in models:
-        sites = posteriors(scored, t).select(F.col("host").alias("h"), F.col("path").alias("p"), *(F.col(c).alias(f"{t}_{c}") for c in ("prior", "by_host", "by_path")))
-        found = found.join(sites, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p"))).drop("h", "p")
-    shown = lambda t: 1 / (1 + F.exp(-(F.col(t) + _logit(_clipped(F.col(f"{t}_by_path"))) - _logit(_clipped(F.col(f"{t}_prior"))))))
-    out = found.select("doc_id", shown("quality").alias("quality"), shown("toxic").alias("toxicity"), F.col("quality_by_host").alias("host_quality"), F.col("quality_by_path").alias("path_quality"))
+        sites = posteriors(scored, t)
+        own = 1 / (1 + F.exp(-F.col(t)))
+        rows = sites.rows.withColumnsRenamed({"host": "h", "path": "p"})
+        both = found.join(rows, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")))
+        shown = 1 / (1 + F.exp(-(F.col(t) + _logit(_clipped(sites.without(own))) - _logit(_clipped(F.lit(sites.prior))))))
+        found = both.select(*found.columns, shown.alias(f"{t}_shown"), F.col("by_host").alias(f"{t}_by_host"), F.col("by_path").alias(f"{t}_by_path"))
+    out = found.select("doc_id", F.col("quality_shown").alias("quality"), F.col("toxic_shown").alias("toxicity"), F.col("quality_by_host").alias("host_quality"), F.col("quality_by_path").alias("path_quality"))
     return out.withColumn("keep", (F.col("quality") >= KEEP_QUALITY) & (F.col("toxicity") < KEEP_TOXICITY))
