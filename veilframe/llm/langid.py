@@ -22,10 +22,10 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 SYMBOLS = 128
-#: Bound on what training collects: texts, and windows of each text.
+#: Bound on the labelled rows that training takes; their texts are taken whole.
 TRAIN_DOCS = 3000
-TRAIN_WINDOWS = 3
-EPOCHS = 6
+#: Windows that training goes through at least, each of the sample's at least once.
+TRAIN_STEPS = 60_000
 UNDETERMINED = "und"
 _BLOCK = 64
 _LETTER = re.compile(r"[^\W\d_]")
@@ -102,7 +102,7 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x, owner, size
 
 
-def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = EPOCHS, seed: int = 7) -> Network:
+def train(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = TRAIN_STEPS, seed: int = 7) -> Network:
     """Adam on the cross-entropy, languages weighted alike; the gradient reaches a filter where its response was largest."""
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.3, (w, SYMBOLS, FILTERS)).astype(np.float32) for w in WIDTHS]
@@ -111,7 +111,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = EPOCHS,
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     weight = (len(y) / (len(langs) * np.maximum(np.bincount(y, minlength=len(langs)), 1))).astype(np.float32)
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(1, -(-steps // len(y)))):
         order = rng.permutation(len(y))
         for a in range(0, len(y), _BLOCK):
             rows = order[a : a + _BLOCK]
@@ -158,34 +158,43 @@ def held_out(id_column: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS) -> Network | None:
     """Trains on at most max_docs labelled texts that aren't held out, the lowest by a hash of their id.
 
-    Of each text up to TRAIN_WINDOWS windows are taken, evenly spaced. None where there is nothing to learn from.
+    All windows of a text are learned from, cut as they are for prediction. Texts without a letter, and windows without
+    one, are left out. A language that no row of the sample has is never predicted. None where there is nothing to
+    learn from.
     """
-    text = col(text_col)
-    size = F.length(text)
-    span = F.greatest(size - WINDOW, F.lit(0))
-    taken = [F.substring(text, (span * i / max(TRAIN_WINDOWS - 1, 1)).cast("int") + 1, F.lit(WINDOW)) for i in range(TRAIN_WINDOWS)]
-    hashed = F.xxhash64(col(id_col))
-    known = docs.where(~held_out(col(id_col)) & col(lang_col).isNotNull())
+    text, hashed = col(text_col), F.xxhash64(col(id_col))
+    known = docs.where(~held_out(col(id_col)) & col(lang_col).isNotNull() & (F.length(text) > 0))
     total = known.count()
     share = 2 * max_docs / max(total, 1)
     while True:
-        rows = (
-            known.where(lowest(hashed, share) & (size > 0))
-            .select(hashed.alias("h"), col(id_col).alias("i"), col(lang_col).cast("string").alias("lang"), F.array(*taken).alias("w"))
-            .orderBy("h", "i", "lang", "w")
-            .limit(max_docs)
-            .select("lang", "w")
-            .collect()
-        )
-        if len(rows) == max_docs or share >= 1:
+        rows = known.where(lowest(hashed, share)).select(hashed.alias("h"), col(id_col).alias("i"), col(lang_col).cast("string").alias("lang"), text.alias("t"))
+        # ranked by hash and digest alone, so that no whole text is sorted
+        first = rows.select("h", "i", "lang", F.xxhash64("t").alias("d")).orderBy("h", "i", "lang", "d").limit(max_docs).agg(F.max(F.struct("h", "d")).alias("m"), F.count("*").alias("n")).first()
+        if first.n == max_docs or share >= 1:
             break
-        share *= 4  # many texts are empty
-    langs = sorted({r.lang for r in rows})
-    pairs = [(w.encode()[:WINDOW], langs.index(r.lang)) for r in rows for w in dict.fromkeys(r.w) if _LETTER.search(w)]
-    if not pairs:
+        share *= 4
+    if not first.n:
         return None
-    x, _, _ = windows_of([w for w, _ in pairs])
-    return train(x, np.array([k for _, k in pairs]), langs)
+    inside = F.struct("h", F.xxhash64("t").alias("d")) <= F.struct(F.lit(first.m.h).alias("h"), F.lit(first.m.d).alias("d"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                lang, windows = [], []
+                for name, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    raw = t.encode()
+                    own = [w for a in range(0, len(raw), WINDOW) if _LETTER.search((w := raw[a : a + WINDOW]).decode("utf-8", "ignore"))]
+                    lang += [name] * len(own)
+                    windows += own
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(windows, pa.binary())], ["lang", "w"])
+
+    got = rows.where(inside).select("lang", "t").mapInArrow(cut, "lang string, w binary").orderBy("lang", "w").toArrow()  # of max_docs rows
+    names = got.column("lang").to_pylist()
+    langs = sorted({*names})
+    if not langs:
+        return None
+    x, _, _ = windows_of(got.column("w").to_pylist())
+    return train(x, np.array([*map({n: k for k, n in enumerate(langs)}.get, names)]), langs)
 
 
 def classify(texts: list[str | None], network: Network | None) -> tuple[list[str], np.ndarray]:
@@ -246,4 +255,4 @@ def annotate(docs: DataFrame, network: Network | None, text_col: str = "text") -
         release_memory()
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("told", told(col(text_col))).select(*map(col, kept), "told.lang_pred", "told.score")
+    return docs.withColumn("__told", told(col(text_col))).select(*map(col, kept), "__told.lang_pred", "__told.score")
