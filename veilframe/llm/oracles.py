@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm import pii, secret_scan
+from veilframe.llm import pii
 
 
 def _quoted(x: str) -> str:
@@ -22,20 +22,26 @@ def places(rows: str, text: str, keep: str, pattern: str, more: str = "") -> str
     )
 
 
+#: Fixed values of the contract, in this dialect and apart from those of the operator.
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_LOOSE = "[A-Za-z0-9+/_-]{24,}"
+
+
 def _secret_kinds() -> str:
-    value = f"regexp_extract(v, {_quoted(secret_scan.ASSIGN)}, 2)"
-    loose = secret_scan.LOOSE.partition(")")[2]  # a leftmost match begins where a run does
+    value = f"regexp_extract(v, {_quoted(_ASSIGN)}, 2)"
     of = lambda pattern: places("documents", "text", "doc_id, source", pattern)
-    kinds = [(of(secret_scan.ASSIGN), value, f"length({value}) >= 12"), (of(secret_scan.ACCESS), "v", "TRUE"), (of(secret_scan.HEX), "v", "TRUE"), (of(loose), "v", "regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')")]
-    return "\nUNION ALL ".join(f"SELECT doc_id, source, {k} AS k, '{secret_scan.KINDS[k]}' AS kind, s, s + length(v) AS e, {val} AS val FROM ({rows}) WHERE {check}" for k, (rows, val, check) in enumerate(kinds))
+    mixed = "regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')"
+    kinds = [("assign", of(_ASSIGN), value, f"length({value}) >= 12"), ("access", of("AKIA[A-Z0-9]+"), "v", "length(v) >= 18"), ("hex", of("[0-9a-f]+"), "v", "length(v) >= 16"), ("live", of(_LOOSE), "v", mixed)]
+    return "\nUNION ALL ".join(f"SELECT doc_id, source, {k} AS k, '{kind}' AS kind, s, s + length(v) AS e, {val} AS val FROM ({rows}) WHERE {check}" for k, (kind, rows, val, check) in enumerate(kinds))
 
 
 SECRETS = f"""
 WITH c AS ({_secret_kinds()}),
-o AS (SELECT val, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners FROM c GROUP BY val),
-j AS (SELECT doc_id, k, s, kind || ':' || s || ':' || e AS span, val, owners FROM c JOIN o USING (val) WHERE k < 3 OR owners = 1),
+o AS (SELECT val, count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) AS owners, count(DISTINCT (source, doc_id)) AS repositories FROM c GROUP BY val),
+v AS (SELECT val, owners = 1 AND repositories < 50 AS live, owners >= 3 OR repositories >= 50 AS example FROM o),
+j AS (SELECT doc_id, k, s, kind || ':' || s || ':' || e AS span, val, live, example FROM c JOIN v USING (val) WHERE k < 3 OR live),
 a AS (SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, string_agg(span, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(span, ',' ORDER BY s, k) AS spans,
-    count(DISTINCT val) FILTER (owners = 1) AS live, count(DISTINCT val) FILTER (owners >= {secret_scan.EXAMPLE_OWNERS}) AS example FROM j GROUP BY doc_id)
+    count(DISTINCT val) FILTER (live) AS live, count(DISTINCT val) FILTER (example) AS example FROM j GROUP BY doc_id)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live, 0) AS n_live, coalesce(example, 0) AS n_example
 FROM documents LEFT JOIN a USING (doc_id)
 """

@@ -1,7 +1,8 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Each candidate's value is hashed, and hashes are counted by distinct repositories and owners over the whole corpus.
-A value that many owners have is an example that was copied about; one that a single owner has looks live.
+A value that many owners have, or one owner in many repositories, is an example that was copied about; one that a
+single owner has in few repositories looks live.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from veilframe.llm.spans import found, listed, row_key
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Candidates that count only where one owner has them: long runs with upper case, lower case and digits.
+#: Candidates that count only where they look live: long runs with upper case, lower case and digits.
 LOOSE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
 KINDS = ("assign", "access", "hex", "live")
-#: Owners from which a value is an example.
-EXAMPLE_OWNERS = 3
+#: Owners, or repositories of one owner, from which a value is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 50
 _SPAN = "array<struct<s:int,k:int,e:int,kind:string,hash:string>>"
 
 
@@ -53,12 +54,13 @@ def ownership(spans: DataFrame, repo: str, owner: str) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
     """(doc_id, spans, n_live, n_example) for each row of docs.
 
     spans: array of (s, k, e, kind, hash), in code points, by start, then kind: all base candidates (assign, access,
-    hex), and of kind live the loose ones whose value a single owner has. n_live and n_example count a row's distinct
-    values that one owner has, and that example_owners or more have.
+    hex), and of kind live the loose ones whose value looks live: a single owner has it, in fewer than
+    example_repositories. n_live and n_example count a row's distinct values that look live, and those that
+    example_owners have, or that are in example_repositories, or more.
 
     A null text is empty and has no spans. Null ids, repositories and owners are values like others. Repeated rows are
     kept, and count as one repository if they name one. Other columns are ignored.
@@ -68,11 +70,13 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     rows = write_table(rows, "secrets")
     spans = rows.where(F.size("found") > 0).select("key", "repo", "owner", F.explode("found").alias("x")).select("key", "repo", "owner", "x.*")
     counted = ownership(spans, "repo", "owner")
-    named = spans.select("key", "s", "k", "e", "kind", "hash").distinct().join(counted.select("hash", "owners"), "hash")
-    judged = named.where((F.col("k") < 3) | (F.col("owners") == 1)).groupBy("key").agg(
+    example = (F.col("owners") >= example_owners) | (F.col("repositories") >= example_repositories)
+    live = (F.col("owners") == 1) & (F.col("repositories") < example_repositories)
+    named = spans.select("key", "s", "k", "e", "kind", "hash").distinct().join(counted.select("hash", live.alias("live"), example.alias("example")), "hash")
+    judged = named.where((F.col("k") < 3) | F.col("live")).groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct("s", "k", "e", "kind", "hash"))).alias("spans"),
-        F.size(F.collect_set(F.when(F.col("owners") == 1, F.col("hash")))).cast("long").alias("n_live"),
-        F.size(F.collect_set(F.when(F.col("owners") >= example_owners, F.col("hash")))).cast("long").alias("n_example"),
+        F.size(F.collect_set(F.when(F.col("live"), F.col("hash")))).cast("long").alias("n_live"),
+        F.size(F.collect_set(F.when(F.col("example"), F.col("hash")))).cast("long").alias("n_example"),
     )
     whole = rows.select("doc_id", "key").join(judged, "key", "left")
     return whole.select("doc_id", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
