@@ -70,14 +70,14 @@ def _parts(token: bytes, limit: int, ranks: dict[bytes, int]) -> tuple[bytes, by
 
 
 class Encoder:
-    """Encodes texts through the library, chunk by chunk, and remembers chunks.
+    """Encodes texts through the library, chunk by chunk, and remembers chunks that aren't long: a bounded number of bytes.
 
     A chunk begins at a space or line feed between two characters that aren't white space; no match of the usual
     patterns crosses such a place, as a match either has white space at its start alone or nothing but white space.
     Texts with white space beside white space are left in one piece.
     """
 
-    CHUNKS, KEPT, BATCH_CHARS = 150_000, 40_000, 1 << 17
+    CHUNKS, KEPT, LONGEST, BATCH_CHARS = 150_000, 40_000, 64, 1 << 17  # chunks that are remembered, and their characters
     _NEXT = re.compile(r"\s\s")
     _CUT = re.compile(r"(?=[ \n])")
     _TAIL = re.compile(r"(?<=[A-Za-z])[!-/:-@\[-`{-~]+\Z")  # a match ends between a letter and these
@@ -92,9 +92,15 @@ class Encoder:
         ids = self.ids
         for a, b in pieces(texts, CHUNK_CHARS):
             cut = [self._chunks(t) for t in texts[a:b]]
-            self._learn({c for chunks in cut for c in chunks if c not in ids})
-            for chunks in cut:
-                yield np.frombuffer(b"".join(map(ids.__getitem__, chunks)), np.int32)
+            new = {c for chunks in cut for c in chunks if c not in ids}
+            longer = {c for c in new if len(c) > self.LONGEST}
+            self._learn(new - longer)
+            for i, chunks in enumerate(cut):
+                if longer and any(c in longer for c in chunks):
+                    yield np.concatenate([np.frombuffer(ids[c], np.int32) if c not in longer else self._once(c) for c in chunks])
+                else:
+                    yield np.frombuffer(b"".join(map(ids.__getitem__, chunks)), np.int32)
+                cut[i] = None
             if len(ids) > self.CHUNKS:
                 self.shrink()
                 ids = self.ids
@@ -105,6 +111,10 @@ class Encoder:
             for e in self.tokenizer.encode_batch(texts[a:b], add_special_tokens=False):
                 yield np.array(e.ids, np.int32), np.array(e.offsets, np.int32).reshape(-1, 2)
 
+    def _once(self, text: str) -> np.ndarray:
+        """The ids of a long chunk, which isn't remembered."""
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
     def shrink(self) -> None:
         """Forgets all but the chunks met first, which are the likeliest to come again."""
         self.ids = dict(islice(self.ids.items(), self.KEPT))
