@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import col, slices
+from veilframe.llm.common import col, slices, write_table
 
 WINDOW = 13
 SHINGLE = 3
@@ -138,8 +138,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ids of the items found, sorted as strings. Contaminated: some word is hit, and a twentieth of all words at least.
 
     Null and empty texts have no words and aren't contaminated; items without words are never found; a null item id
-    counts as an empty string. Repeated rows are kept, and so are null ids. Other columns are ignored. The benchmark
-    goes to the executors in blocks of bounded size, a pass over docs for each.
+    counts as an empty string, and repeated items count once. Repeated rows are kept, and so are null ids. Other columns
+    are ignored. The benchmark goes to the executors in blocks of bounded size, a pass over docs for each.
     """
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
@@ -193,16 +193,30 @@ def _judge():
 
 
 def _indexes(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list:
-    """Broadcast indexes of blocks of items, each of block_bytes of text on average."""
-    items = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item"), col(text_col).alias("text")).where("text IS NOT NULL")
+    """Broadcast indexes of blocks of distinct items, each of block_bytes of text at most or of one small range of hashes.
+
+    Items fall into ranges of their hash, a few to a block; a block is as many ranges as its bytes allow. The
+    benchmark is read once more and dealt to the blocks, each of which then reads its own part.
+    """
+    items = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item"), col(text_col).alias("text")).where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    out = []
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        index = Index([(r.item, r.text) for r in block.orderBy("item", "text").collect()], window)  # block_bytes bounds it
-        out.append(benchmark.sparkSession.sparkContext.broadcast(index))
-    return out
+    ranges = 1 if total <= block_bytes else 8 * math.ceil(total / block_bytes)
+    if ranges == 1:
+        return [_index(items, window)]
+    dealt = write_table(items.withColumn("r", F.pmod(F.xxhash64("item", "text"), F.lit(ranges)).cast("int")), "items")
+    sizes = {r.r: r.n for r in dealt.groupBy("r").agg(F.sum(F.octet_length("text")).alias("n")).collect()}  # ranges rows
+    cuts, held = [0], 0
+    for r in sorted(sizes):
+        if held and held + sizes[r] > block_bytes:
+            cuts.append(r)
+            held = 0
+        held += sizes[r]
+    return [_index(dealt.where((F.col("r") >= a) & (F.col("r") < b)), window) for a, b in zip(cuts, [*cuts[1:], ranges], strict=True)]
+
+
+def _index(items: DataFrame, window: int):
+    rows = items.select("item", "text").orderBy("item", "text").collect()  # a block's
+    return items.sparkSession.sparkContext.broadcast(Index([(r.item, r.text) for r in rows], window))
 
 
 def _schema(kind: str) -> str:
