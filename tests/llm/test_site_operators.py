@@ -47,6 +47,21 @@ def test_filters_and_payloads_are_pushed_down(spark, odd_pages, tmp_path):
         list(warc.records(io.BytesIO(gzip.decompress(raw)[:-10])))
 
 
+def test_blocks_without_the_end_of_a_header():
+    def raw(kind, block):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <x>\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    data = raw("response", b"HTTP/1.1 200 OK\r\nno end") + raw("response", b"HTTP/1.1 200 OK\r\n\r\nbody") + raw("response", b"") + raw("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 12\r\n\r\n")
+    assert [(r[4], r[-1]) for r in warc.records(io.BytesIO(data))] == [(23, b"HTTP/1.1 200 OK\r\nno end"), (4, b"body"), (0, b""), (12, None)]
+    assert [r[4] for r in warc.records(io.BytesIO(data), payloads=False)] == [23, 4, 0, 12]
+
+
+def test_pages_with_columns_of_our_own_names(spark):
+    pages = spark.createDataFrame([(1, "u", "same", 1, "x"), (2, "u", "same", 2, "y"), (None, "u", "other", 3, "z")], "page_id long, url string, html string, id int, sha1 string")
+    read = warc.archive_and_read(pages.selectExpr("*", "'a' AS again", "'p' AS payload", "1 AS last"), payload=True).collect()
+    assert sorted((r.record_id.rpartition(":")[2], r.record_type) for r in read) == [("", "response"), ("1", "revisit"), ("2", "response")]
+
+
 def test_warc_query_and_empty_table(spark):
     pages = {k: (h or "").encode() for k, h in cases.table("pages", ["page_id", "html"])}
     rows = queries.op8_warc(spark, cases.SF).collect()

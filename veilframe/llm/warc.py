@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import io
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,19 +20,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from veilframe.llm.common import checkpoint_dir, col, prepare, slices, write_table
+from veilframe.llm.common import col, prepare, slices, write_table
+from veilframe.session import shared_path
 
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_length long, refers_to string, payload binary"
 #: Columns that filters are pushed down for, and the header of each.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+#: Bytes of a block in which its HTTP header must end.
+HEADER_BYTES = 1 << 20
 _CHUNK = 1 << 20
+_S3 = re.compile("^s3[an]://")  # other engines' names for the same store
 
 
 def _fs(path: str):
     from pyarrow import fs
 
+    path = _S3.sub("s3://", path)
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -93,6 +99,17 @@ class _Stream:
         self.at = found + len(mark)
         return out
 
+    def within(self, mark: bytes, size: int) -> bytes | None:
+        """Bytes up to mark, which is taken too, if it ends within size bytes; else None, and nothing is taken."""
+        while len(self.held) - self.at < size and self.held.find(mark, self.at) < 0 and self._more():
+            pass
+        found = self.held.find(mark, self.at, self.at + size)
+        if found < 0:
+            return None
+        out = self.held[self.at : found]
+        self.at = found + len(mark)
+        return out
+
     def take(self, size: int) -> bytes:
         while len(self.held) - self.at < size:
             if not self._more():
@@ -125,11 +142,12 @@ def records(raw, wanted: dict[str, set[str]] | None = None, payloads: bool = Tru
             continue
         length, left = size, size
         payload = None
-        if fields.get("content-type", "").startswith("application/http"):
-            http = stream.until(b"\r\n\r\n") or b""
+        http = stream.within(b"\r\n\r\n", min(size, HEADER_BYTES)) if fields.get("content-type", "").startswith("application/http") else None
+        if http is not None:  # a block without the end of a header is all payload
             left = size - len(http) - 4
             own = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
-            length = int(own.get("content-length", left)) if fields.get("warc-type") == "revisit" else left
+            told = own.get("content-length", "")
+            length = int(told) if fields.get("warc-type") == "revisit" and told.isdigit() else left
         if payloads and fields.get("warc-type") != "revisit":
             payload = stream.take(left)
             stream.skip(4)
@@ -279,7 +297,8 @@ def page_records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url"
     keys = rows.select("id", "sha1", F.octet_length("payload").alias("size")).where((F.col("size") >= min_bytes) & F.col("id").isNotNull())
     last = keys.groupBy("sha1").agg(F.max("id").alias("last"), F.min("id").alias("least")).where("last <> least").select("sha1", "last")
     again = write_table(keys.select("id", "sha1").distinct().join(last, "sha1").where("id <> last").select(F.col("id").alias("again"), F.col("sha1").alias("again_sha1"), "last"), "revisits")
-    joined = rows.join(again, (F.col("id") == F.col("again")) & (F.col("sha1") == F.col("again_sha1")), "left")
+    matched = rows.where("id IS NOT NULL").join(again, (F.col("id") == F.col("again")) & (F.col("sha1") == F.col("again_sha1")), "left").select(*rows.columns, "last")
+    joined = matched.unionByName(rows.where("id IS NULL").withColumn("last", F.lit(None).cast(again.schema["last"].dataType)))
     revisit = F.col("last").isNotNull()
     name = lambda c: F.concat(F.lit("urn:x-page:"), c.cast("string"))
     return joined.select(
@@ -311,6 +330,6 @@ def write_pages(pages: DataFrame, path: str, **options) -> None:
 def archive_and_read(pages: DataFrame, payload: bool = False, **options) -> DataFrame:
     """Writes pages to new archives in the shared folder and reads them back."""
     spark = pages.sparkSession
-    path = f"{checkpoint_dir(spark)}/veilframe/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     write_pages(pages, path, **options)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
