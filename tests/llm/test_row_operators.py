@@ -245,3 +245,73 @@ def test_language_network_on_held_out_documents(spark, odd, empty):
     assert langid.predict(empty, network).count() == 0
     assert langid.fit(empty) is None
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
+
+
+def test_sharding_query_against_brute_force(spark):
+    def jump(key, n):
+        b, j = -1, 0
+        while j < n:
+            b, key = j, (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+        return b
+
+    texts = dict(cases.table("documents", ["doc_id", "text"]))
+    keys = {r.doc_id: r.k for r in spark.createDataFrame([(i,) for i in texts], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) AS k").collect()}
+    rows = queries.op3_sharding(spark, cases.SF).collect()
+    assert {r.doc_id for r in rows} == {*texts}
+    slots = {}
+    for r in rows:
+        body = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law) == (len(body) + 16, cases.crc(texts[r.doc_id]), "key")
+        assert (r.shard, r.grown_shard) == (jump(keys[r.doc_id] % 2**64, 40), jump(keys[r.doc_id] % 2**64, 41))
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == [*range(len(s))] for s in slots.values())
+
+
+def test_network_against_a_plain_convolution():
+    rng = np.random.default_rng(1)
+    f = [rng.normal(size=(w, langid.SYMBOLS, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS]
+    total = len(f) * langid.FILTERS
+    net = langid.Network(["a", "b", "c"], f, rng.normal(size=total).astype(np.float32), rng.normal(size=(total, 3)).astype(np.float32), np.zeros(3, np.float32))
+    texts = ["short é", "a longer text " * 40]
+    x, owner, size = langid.windows_of([t.encode() for t in texts])
+    want = []
+    for row in x:
+        best = [max(sum(f[k][j][row[at + j], c] for j in range(w)) for at in range(len(row) - w + 1)) for k, w in enumerate(langid.WIDTHS) for c in range(langid.FILTERS)]
+        z = np.maximum(np.array(best) + net.bias, 0) @ net.dense
+        want.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    assert np.allclose(net.probabilities(x), want, atol=1e-4)
+    langs, scores = langid.classify([*texts, None, "123"], net)
+    for i in range(2):
+        p = sum(w * s for w, s, o in zip(want, size, owner, strict=True) if o == i) / size[owner == i].sum()
+        assert (langs[i], scores[i]) == (net.langs[int(p.argmax())], pytest.approx(p.max(), abs=1e-4))
+    assert langs[2:] == ["und", "und"]
+
+
+def test_all_of_a_text_is_learned_from_and_columns_stay(spark):
+    rows = [(i, ("filler words here " * 30 if i % 2 else "other stuff there ") + " zzqq" * 60 * (i % 2) + " end", "xx" if i % 2 else "yy", "mine") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, told string")
+    network = langid.fit(docs)
+    assert langid.classify(["zzqq " * 20], network)[0] == ["xx"]
+    kept = langid.annotate(docs, network)
+    assert kept.columns == [*docs.columns, "lang_pred", "score"]
+    assert {r.told for r in kept.collect()} == {"mine"}
+
+
+def test_long_chunks_are_encoded_and_not_remembered():
+    texts = ["two  spaces " * 500, "x" * 5000, "plain words again " + "y" * 100 + " end", "", "a\n\nb " * 300]
+    coder = bpe.Encoder(RANKS, PATTERN)
+    plain = coder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for _ in range(2):
+        assert [i.tolist() for i in coder.encode(texts)] == [e.ids for e in plain]
+    assert max(map(len, coder.ids)) <= coder.LONGEST
+
+
+def test_secrets_of_many_repositories_are_examples(spark):
+    value = "Ab1" * 9
+    docs = spark.createDataFrame([(i, f"x {value} y", "one") for i in range(4)] + [(9, f"z {'Cd2' * 9}", "one")], "doc_id long, text string, source string")
+    few = {r.doc_id: (r.n_live, r.n_example, len(r.spans)) for r in secret_scan.secrets(docs).collect()}
+    assert few == {**dict.fromkeys(range(4), (1, 0, 1)), 9: (1, 0, 1)}
+    many = {r.doc_id: (r.n_live, r.n_example, len(r.spans)) for r in secret_scan.secrets(docs, example_repositories=4).collect()}
+    assert many[9] == (1, 0, 1)
+    assert all(many[i][0] == 0 and many[i][2] == 0 for i in range(4))
