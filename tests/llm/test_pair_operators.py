@@ -7,7 +7,7 @@ import cases
 import numpy as np
 import pytest
 
-from veilframe.llm import decontaminate, jaccard, queries
+from veilframe.llm import common, decontaminate, jaccard, queries
 from veilframe.llm.components import components
 
 
@@ -64,6 +64,25 @@ def test_near_duplicates_of_odd_documents(spark, odd):
     assert jaccard.near_duplicates(cases.empty_documents(spark)).count() == 0
 
 
+def test_sets_that_share_a_class_and_keys_of_many_rows(spark, odd, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 1)
+    rows = [(i, f"{'a b c d e f g h i j k l m n o p q r s t u v ' * 4} {i % 7} end {i}") for i in range(60)] + [(100 + i, f"w{i} x{i} y z{i} q") for i in range(30)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = cases.components(rows)
+    for bits in (64, 3):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, class_bits=bits).collect()}
+        assert got == want
+    assert jaccard.near_duplicates(odd).count() == odd.count()
+
+
+def test_spread_join_equals_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    left = spark.createDataFrame([(None if i % 11 == 0 else i % 3, i) for i in range(80)], "k long, i long")
+    right = spark.createDataFrame([(0, "x"), (1, "y"), (5, "z")], "k long, v string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.spread_join(left, right, ["k"], ["i"], how=how).collect())) == sorted(map(str, left.join(right, ["k"], how).collect()))
+
+
 def test_class_links_are_all_links(spark):
     rows = near_copies(9)[:120]
     links, members = jaccard.class_links(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -143,3 +162,13 @@ def test_decontamination_of_all_documents(spark):
     for r in rows:
         n_words, n_hit, names, bad = contaminated(texts[r.doc_id], items)
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n_words, n_hit, len(names), cases.sha(",".join(names)), bad)
+
+
+def test_repeated_items_make_no_block_of_their_own(spark):
+    words = [f"w{i}" for i in range(14)]
+    items = [(1, " ".join(words))] * 50 + [(2, " ".join(reversed(words))), (None, "x y z"), (4, None)]
+    docs = spark.createDataFrame([(1, " ".join(["a", *words, "b"])), (2, "x y z"), (3, "none")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.contamination(docs, benchmark).collect()))
+    assert sorted(map(str, decontaminate.contamination(docs, benchmark, block_bytes=60).collect())) == whole
+    assert len(decontaminate._indexes(benchmark, "item_id", "text", 13, 60)) <= 3

@@ -13,7 +13,7 @@ from veilframe.session import prepare
 from veilframe.session import shared_dir as checkpoint_dir
 from veilframe.session import written as write_table
 
-__all__ = ["CHUNK_CHARS", "bit_set", "checkpoint_dir", "col", "lowest", "pieces", "prepare", "read_documents", "release_memory", "slices", "write_table"]
+__all__ = ["CHUNK_CHARS", "bit_set", "checkpoint_dir", "col", "lowest", "pieces", "prepare", "read_documents", "release_memory", "slices", "spread_join", "write_table"]
 
 #: Characters of text that one Python step works on at a time.
 CHUNK_CHARS = 1 << 20
@@ -76,6 +76,27 @@ def release_memory() -> None:
         trim(0)
 
 
+#: Rows of a key from which a join deals them to several tasks, and how many such keys are told apart at most: with
+#: more, each of the others has less than this share of all rows.
+HOT, MOST_HOT = 512, 1 << 16
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], counted: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each of keys; keys that many rows of left have are dealt by a salt.
+
+    The salt comes from the columns of by. right's row of such a key is repeated for each salt. counted has the rows
+    of left to be counted by keys (left itself, unless it costs too much to be made twice).
+    """
+    counts = (left if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("rows_of_key")).where(F.col("rows_of_key") > HOT)
+    hot = counts.orderBy(F.desc("rows_of_key"), *keys).limit(MOST_HOT).toArrow()  # MOST_HOT bounds it
+    if not hot.num_rows:
+        return left.join(right, keys, how)
+    salts = left.sparkSession.createDataFrame(hot).select(*keys, F.ceil(F.col("rows_of_key") / HOT).cast("int").alias("salts"))
+    salted = left.join(F.broadcast(salts), keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    repeated = right.join(F.broadcast(salts), keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return salted.join(repeated, [*keys, "salt"], how).drop("salt")
+
+
 def bit_set(places: DataFrame, bits: int) -> np.ndarray:
     """2 ** bits bits as bytes, lowest first, with those of places (at, from 0) set: bounded whatever the input."""
     size = 1 << 15  # of the maps that Spark builds

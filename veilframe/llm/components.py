@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import write_table
+from veilframe.llm.common import spread_join, write_table
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of links (a, b): the smallest node that it is linked with, over any others.
 
-    Each step is an aggregate and a join on a node, written to the shared folder; no group is collected. Rows that
+    Each step is an aggregate and a join on a node, written to the shared folder; no group is collected, and a node of
+    many links is dealt to several tasks. Rows that
     link a node with itself or repeat a link change nothing. No links give an empty table.
     """
     edges = write_table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
@@ -22,10 +23,10 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours move to the smallest one
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = write_table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links")
+        edges = write_table(spread_join(both.where("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "links")
         # small star: smaller neighbours, and the node, move to the smallest one
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = spread_join(edges, least, ["u"], ["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = write_table(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         if _state(edges) == before:
             break

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import bit_set, col, release_memory, slices, write_table
+from veilframe.llm.common import bit_set, col, release_memory, slices, spread_join, write_table
 from veilframe.llm.components import components
 
 WORDS = 5
@@ -60,12 +60,27 @@ def shingle_set(text: bytes | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(32)))
 
 
-def class_of(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set, as two signed numbers; the first is the class, the second tells clashes."""
+def class_of(hashes: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """128 bits that stand for a set, as two signed numbers; of the first only the top bits are used."""
     import xxhash
 
     d = xxhash.xxh3_128_digest(hashes.tobytes())
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+    return int.from_bytes(d[:8], "little", signed=True) >> (64 - bits), int.from_bytes(d[8:], "little", signed=True)
+
+
+def class_name(pair: tuple[int, int], clashing: frozenset[int]) -> int:
+    """The class of a set: the first number, but the second one where several sets share the first."""
+    return pair[1] if pair[0] in clashing else pair[0]
+
+
+def clashing_classes(sets: DataFrame) -> frozenset[int]:
+    """First numbers that several sets share. Chance alone makes them: some hundreds among 10^11 sets."""
+    shared = sets.groupBy("cls").agg(F.min("clash").alias("lo"), F.max("clash").alias("hi")).where("lo <> hi")
+    return frozenset(r.cls for r in shared.select("cls").collect())
+
+
+def renamed(sets: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    return sets.withColumn("cls", F.when(F.col("cls").isin(*clashing), F.col("clash")).otherwise(F.col("cls"))) if clashing else sets
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -104,7 +119,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int, class_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """Two tables from one pass: (doc_id, h, n, cls, clash, bits) of each row, and common shingles (key, n) of each task.
 
     h is a hash of the text. bits is the bit map, with the first text of a class in a task; a set of less than two
@@ -114,7 +129,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> tup
     schema = f"doc_id {kind}, h long, n long, cls long, clash long, bits binary, keys array<long>, counts array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         counted = _Counter()
         id_type = None
         for batch in batches:
@@ -123,10 +138,10 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> tup
                 n, cls, clash, bits = [], [], [], []
                 for text in part.column(2).to_pylist():
                     hashes = shingle_set(text, words)
-                    this = class_of(hashes)
-                    fresh = len(hashes) > 1 and this[0] not in seen
+                    this = class_of(hashes, class_bits)
+                    fresh = len(hashes) > 1 and this not in seen
                     if fresh:
-                        seen.add(this[0])
+                        seen.add(this)
                         counted.add(hashes)
                     n.append(len(hashes))
                     cls.append(this[0])
@@ -193,7 +208,7 @@ def most_common(common: DataFrame) -> DataFrame:
     return common.where(F.col("step") >= least if least is not None else F.lit(False)).select("key", "n")
 
 
-def tiles(docs: DataFrame, common: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
+def tiles(docs: DataFrame, common: DataFrame, text_col: str, words: int, percent: int, clashing: frozenset[int] = frozenset(), class_bits: int = 64) -> DataFrame:
     """(token, cls, n, at): each class at the shingles of its prefix that another class has in its prefix too."""
     top = most_common(common).toArrow()  # COMMON bounds it
     keys = top.column("key").to_numpy().view(np.uint64)
@@ -208,7 +223,7 @@ def tiles(docs: DataFrame, common: DataFrame, text_col: str, words: int, percent
                 token, cls, size, place = [], [], [], []
                 for text in part.column(0).to_pylist():
                     hashes = shingle_set(text, words)
-                    this = class_of(hashes)[0]
+                    this = class_name(class_of(hashes, class_bits), clashing)
                     if len(hashes) < 2 or this in seen:
                         continue
                     seen.add(this)
@@ -243,21 +258,24 @@ def star_pairs(tiled: DataFrame, percent: int, salts: int = 3) -> DataFrame:
     """
     found = None
     for shift in (0.0, 0.5):
-        tile = Window.partitionBy("token", "band")
-        centres = F.array(*[F.min(F.struct(F.xxhash64("cls", F.lit(k)), "cls", "n")).over(tile) for k in range(salts)])
-        each = tiled.withColumn("band", _band(percent, shift)).withColumn("cs", centres).select("cls", "n", F.explode(F.array_distinct("cs")).alias("c"))
+        rows = tiled.withColumn("band", _band(percent, shift))
+        least = [F.min_by(c, F.xxhash64("cls", F.lit(k))).alias(f"{c}{k}") for k in range(salts) for c in ("cls", "n")]  # numbers, which hash aggregates take
+        cs = F.array_distinct(F.array(*(F.struct(F.col(f"cls{k}").alias("cls"), F.col(f"n{k}").alias("n")) for k in range(salts))))
+        centres = rows.groupBy("token", "band").agg(*least).select("token", "band", cs.alias("cs"))
+        each = spread_join(rows, centres, ["token", "band"], ["cls"]).select("cls", "n", F.explode("cs").alias("c"))
         pairs = each.where("cls <> c.cls").select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b"), F.when(F.col("cls") < F.col("c.cls"), F.col("n")).otherwise(F.col("c.n")).alias("n_a"), F.when(F.col("cls") < F.col("c.cls"), F.col("c.n")).otherwise(F.col("n")).alias("n_b"))
         found = pairs if found is None else found.unionByName(pairs)
     return found.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").distinct()
 
 
 def _apart(tiled: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """tiled with each class's component, without shingles whose classes are all of one component."""
+    """tiled with each class's component, and m, its rows, for shingles whose classes aren't all of one component."""
     if joined is None:
-        return tiled.withColumn("comp", F.col("cls"))
-    rows = tiled.join(joined, tiled.cls == joined.node, "left").select("token", "cls", "n", "at", F.coalesce("component", "cls").alias("comp"))
-    by_token = Window.partitionBy("token")
-    return rows.withColumn("lo", F.min("comp").over(by_token)).withColumn("hi", F.max("comp").over(by_token)).where("lo <> hi").drop("lo", "hi")
+        rows = tiled.withColumn("comp", F.col("cls"))
+    else:
+        rows = write_table(tiled.join(joined, tiled.cls == joined.node, "left").select("token", "cls", "n", "at", F.coalesce("component", "cls").alias("comp")), "tiles-named")
+    several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("token", "m")
+    return spread_join(rows, several, ["token"], ["cls"])
 
 
 def cross_likely(tiled: DataFrame, joined: DataFrame | None, sets: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
@@ -265,8 +283,7 @@ def cross_likely(tiled: DataFrame, joined: DataFrame | None, sets: DataFrame, pe
 
     With nearest, a class of a large tile has its likeliest partners only. Where a shingle is the first that two prefixes share, at most as much is shared as either has from there on.
     """
-    counted = _apart(tiled, joined).withColumn("m", F.count("*").over(Window.partitionBy("token"))).withColumn("band", _band(percent))
-    rows = write_table(counted, "tiles-apart")
+    rows = write_table(_apart(tiled, joined).withColumn("band", _band(percent)), "tiles-apart")
     small = rows.where(F.col("m") <= SMALL_TILE)
     left = small.select(F.col("token").alias("t"), F.col("band").alias("tile"), F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("comp").alias("comp_a"), F.col("band").alias("band_a"))
     right = small.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("into"), "cls", "n", "at", "comp", "band")
@@ -347,10 +364,20 @@ def _pairs_of(rows: list[list], two: bool, percent: int, nearest: int | None = N
     return left, right
 
 
+def _both(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """Written pairs (a, b) with rows' (cls, value) of either side, under the names value_a and value_b.
+
+    Centres of stars are in many pairs; these are dealt to several tasks.
+    """
+    side = lambda k: rows.select(F.col("cls").alias(k), F.col(value).alias(f"{value}_{k}"))
+    one = spread_join(pairs, side("a"), ["a"], ["b"], pairs)
+    return spread_join(one, side("b"), ["b"], ["a"], pairs)
+
+
 def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose bit maps leave a chance of enough overlap."""
     maps = sets.where("bits IS NOT NULL").groupBy("cls").agg(F.first("bits").alias("bits"))
-    both = pairs.join(maps.select(F.col("cls").alias("a"), F.col("bits").alias("bits_a")), "a").join(maps.select(F.col("cls").alias("b"), F.col("bits").alias("bits_b")), "b")
+    both = _both(write_table(pairs, "pairs"), maps, "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -362,7 +389,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int, label: str) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int, label: str, clashing: frozenset[int] = frozenset(), class_bits: int = 64) -> DataFrame:
     """The pairs (a, b) whose sets overlap enough, by intersecting the sorted arrays.
 
     Only texts that may be the chosen one of a wanted class are cut into shingles again.
@@ -374,17 +401,20 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
     shared = docs.sparkSession.sparkContext.broadcast(bit_set(wanted, FILTER_BITS))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        import xxhash
+
+        seen: set[bytes] = set()
         for batch in batches:
             at = batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)
             likely = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             for part in slices(likely, 1):
                 cls, sets = [], []
-                for h, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if h not in seen:
-                        seen.add(h)
+                for text in part.column(1).to_pylist():
+                    digest = xxhash.xxh3_128_digest(text or b"")
+                    if digest not in seen:
+                        seen.add(digest)
                         hashes = shingle_set(text, words)
-                        cls.append(class_of(hashes)[0])
+                        cls.append(class_name(class_of(hashes, class_bits), clashing))
                         sets.append(hashes.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "hashes"])
         release_memory()
@@ -401,9 +431,8 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
 
     made = docs.select(F.xxhash64(col(text_col)).alias("h"), col(text_col).cast("binary").alias("text")).mapInArrow(make, "cls long, hashes binary")
     sets = write_table(made, f"{label}-sets").dropDuplicates(["cls"])
-    with_a = pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("set_a")), "a")
-    both = with_a.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("set_b")), "b")
-    return write_table(both.select("a", "b", "set_a", "set_b").mapInArrow(intersect, "a long, b long"), f"{label}-links")
+    both = _both(pairs, sets, "hashes")
+    return write_table(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(intersect, "a long, b long"), f"{label}-links")
 
 
 def class_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -412,31 +441,35 @@ def class_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The number of pairs is that of the links between different sets; near_duplicates() does without most of them.
     """
     sets, common = shingle_sets(docs, id_col, text_col, words)
-    tiled = tiles(docs, common, text_col, words, percent)
-    links = verified(cross_likely(tiled, None, sets, percent), sets, docs, text_col, words, percent, "all")
+    clashing = clashing_classes(sets)
+    sets = renamed(sets, clashing)
+    tiled = tiles(docs, common, text_col, words, percent, clashing)
+    links = verified(cross_likely(tiled, None, sets, percent), sets, docs, text_col, words, percent, "all", clashing)
     return links, sets.select("doc_id", "n", "cls")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, class_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs.
 
     Two rows are linked when their sets' intersection is percent of the union at least. component_id is the smallest
     doc_id that a row reaches over links, its own included. A text of fewer words than a shingle is one shingle; a
     null text, or one without words, has no shingles and is linked with nothing. Repeated rows are kept and linked.
-    A null id stays null in doc_id and doesn't count as smallest. Other columns are ignored.
+    A null id stays null in doc_id and doesn't count as smallest. Other columns are ignored. class_bits shortens the
+    first number of a class, for tests of what happens when sets share it.
     """
-    sets, common = shingle_sets(docs, id_col, text_col, words)
-    clash = sets.groupBy("cls").agg(F.min("clash").alias("lo"), F.max("clash").alias("hi")).where("lo <> hi")
-    if clash.limit(1).count():
-        raise ValueError("two sets share the first 64 bits of their hash; shingle another way (words) or split the input")
-    tiled = tiles(docs, common, text_col, words, percent)
-    near = verified(bounded(star_pairs(tiled, percent), sets, percent), sets, docs, text_col, words, percent, "star")
+    sets, common = shingle_sets(docs, id_col, text_col, words, class_bits)
+    clashing = clashing_classes(sets)
+    sets = renamed(sets, clashing)
+    tiled = tiles(docs, common, text_col, words, percent, clashing, class_bits)
+    exact = lambda pairs, label: verified(pairs, sets, docs, text_col, words, percent, label, clashing, class_bits)
+    near = exact(bounded(star_pairs(tiled, percent), sets, percent), "star")
     parts = write_table(components(near), "components")
     for nearest in (NEAREST, None):  # the likeliest of a large tile first, then all that is still apart
-        rest = verified(cross_likely(tiled, parts, sets, percent, nearest), sets, docs, text_col, words, percent, "cross")
+        rest = exact(cross_likely(tiled, parts, sets, percent, nearest), "cross")
         parts = write_table(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest)), "components")
     members = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = members.join(parts, members.cls == parts.node, "left").select("cls", "least", F.coalesce("component", "cls").alias("part"))
     smallest = named.groupBy("part").agg(F.min("least").alias("component_id"))
     ids = named.join(smallest, "part").select("cls", "component_id")
-    return sets.join(ids, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    narrow = sets.select("doc_id", "n", "cls", "h")
+    return spread_join(narrow, ids, ["cls"], ["doc_id", "h"], how="left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
