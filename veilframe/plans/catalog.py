@@ -606,8 +606,9 @@ def stream_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed, _, known = _pseudonymized(spark, sf_dir)
     size = 37
     last = F.greatest(F.floor((F.length("text") - 1) / size), F.lit(0)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("text"), i * size + 1, F.lit(size)))
-    rows = changed.select(F.col("doc_id").alias("stream_id"), F.size(pieces).alias("n"), F.posexplode(pieces).alias("seq", "text")).select("stream_id", F.col("seq").cast("long").alias("seq"), "text", (F.col("seq") == F.col("n") - 1).alias("is_done"))
+    pieces = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.substring(F.col("text"), i * size + 1, F.lit(size)))
+    # last is computed below the explode: once for each text, not for each piece
+    rows = changed.withColumn("last", last).select(F.col("doc_id").alias("stream_id"), "last", F.posexplode(pieces).alias("seq", "text")).select("stream_id", F.col("seq").cast("long").alias("seq"), "text", (F.col("seq") == F.col("last")).alias("is_done"))
     place = session.shared_path(spark, "stream")
     rows.write.parquet(f"{place}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
