@@ -41,8 +41,9 @@ def near_copies(seed: int = 5) -> list[tuple]:
     return [(i * 3 + 1, rows[k]) for i, k in enumerate(order)]
 
 
-@pytest.mark.parametrize(("small", "block"), [(32, 4096), (2, 7)])
-def test_near_duplicates(spark, monkeypatch, small, block):
+@pytest.mark.parametrize(("small", "block", "hot"), [(32, 4096, 512), (2, 7, 512), (2, 7, 2)])
+def test_near_duplicates(spark, monkeypatch, small, block, hot):
+    monkeypatch.setattr(jaccard, "HOT_SHINGLE", hot)
     monkeypatch.setattr(jaccard, "SMALL_TILE", small)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = near_copies()

@@ -39,6 +39,8 @@ FILTER_BITS = 24
 SMALL_TILE, BLOCK = 32, 4096
 #: Likeliest partners that a class of a large tile is compared with before all that are then still apart.
 NEAREST = 3
+#: Texts of a shingle from which its rows are dealt to several tasks when shared ones are told from the rest.
+HOT_SHINGLE = 512
 _COMPACT = 1 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -209,18 +211,22 @@ def most_common(common: DataFrame) -> DataFrame:
 
 
 def tiles(docs: DataFrame, common: DataFrame, text_col: str, words: int, percent: int, clashing: frozenset[int] = frozenset(), class_bits: int = 64) -> DataFrame:
-    """(token, cls, n, at): each class at the shingles of its prefix that another class has in its prefix too."""
+    """(token, cls, n, at): each class at the shingles of its prefix that another class has in its prefix too.
+
+    Shingles that are known to be common stay without that test, so that no task needs all rows of one of them.
+    """
     top = most_common(common).toArrow()  # COMMON bounds it
     keys = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     shared = docs.sparkSession.sparkContext.broadcast((keys[order], top.column("n").to_numpy()[order]))
+    hot = HOT_SHINGLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, 0):
-                token, cls, size, place = [], [], [], []
+                token, cls, size, place, dealt = [], [], [], [], []
                 for text in part.column(0).to_pylist():
                     hashes = shingle_set(text, words)
                     this = class_name(class_of(hashes, class_bits), clashing)
@@ -228,22 +234,25 @@ def tiles(docs: DataFrame, common: DataFrame, text_col: str, words: int, percent
                         continue
                     seen.add(this)
                     p = prefix_length(len(hashes), percent)
+                    rank = np.zeros(len(hashes), np.int64)
                     if len(keys):
                         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
                         rank = np.where(keys[at] == hashes, counts[at], 0)
-                        hashes = hashes[np.lexsort((hashes, rank))]
+                        order = np.lexsort((hashes, rank))
+                        hashes, rank = hashes[order], rank[order]
                     token.append(hashes[:p].view(np.int64))
                     cls.append(np.full(p, this, np.int64))
                     size.append(np.full(p, len(hashes), np.int32))
                     place.append(np.arange(p, dtype=np.int32))
-                columns = [np.concatenate([np.empty(0, d), *x]) for x, d in ((token, np.int64), (cls, np.int64), (size, np.int32), (place, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "cls", "n", "at"])
+                    dealt.append(np.where(rank[:p] > hot, 1 + this % np.maximum(-(-rank[:p] // hot), 1), 0).astype(np.int32))
+                columns = [np.concatenate([np.empty(0, d), *x]) for x, d in ((token, np.int64), (cls, np.int64), (size, np.int32), (place, np.int32), (dealt, np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "cls", "n", "at", "part"])
         release_memory()
 
-    prefixes = docs.select(col(text_col).cast("binary")).mapInArrow(run, "token long, cls long, n int, at int")
-    by_token = Window.partitionBy("token")
-    several = prefixes.withColumn("lo", F.min("cls").over(by_token)).withColumn("hi", F.max("cls").over(by_token)).where("lo <> hi")
-    return write_table(several.select("token", "cls", "n", "at").distinct(), "tiles")
+    prefixes = docs.select(col(text_col).cast("binary")).mapInArrow(run, "token long, cls long, n int, at int, part int")
+    by_token = Window.partitionBy("token", "part")
+    several = prefixes.withColumn("lo", F.min("cls").over(by_token)).withColumn("hi", F.max("cls").over(by_token)).where("lo <> hi OR part > 0")
+    return write_table(several.select("token", "part", "cls", "n", "at").distinct().drop("part"), "tiles")
 
 
 def _band(percent: int, shift: float = 0.0):
