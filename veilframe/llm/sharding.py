@@ -17,6 +17,8 @@ from veilframe.llm.common import col, write_table
 MULTIPLIER = 2862933555777941757
 INCREMENT = 1
 SCALE = float(1 << 31)
+#: Chunks of a shard at least, and the rows of a chunk from which there are more.
+LEAST_CHUNKS, CHUNK_ROWS = 64, 1 << 20
 
 
 def jump_hash(keys: np.ndarray, n_shards: int) -> np.ndarray:
@@ -36,12 +38,13 @@ def jump_hash(keys: np.ndarray, n_shards: int) -> np.ndarray:
     return shard.astype(np.int32)
 
 
-def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", chunks: int = 64) -> DataFrame:
+def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text", chunks: int = LEAST_CHUNKS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard), a row for each row of docs.
 
     The shard depends on the key and n_shards alone. size is the text's UTF-8 bytes plus 16. Slots number a
     shard's rows from 0 without gaps: rows are numbered within chunks of a shard, and a chunk starts where the
-    ones before it end, so that no task sorts a whole shard and a repeated key is spread over the chunks.
+    ones before it end, so that no task sorts a whole shard and a repeated key is spread over the chunks. A chunk has
+    about chunk_rows rows at most, so there are more than chunks of them where there are more rows.
 
     A null text has no bytes (size 16, CRC of nothing: 0); a null key hashes like any other value. Repeated rows
     each get a slot of their own. Other columns are ignored.
@@ -62,12 +65,14 @@ def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
         F.xxhash64(col(id_col)).alias("key"),
     )
     placed = rows.withColumn("p", place("key")).select("doc_id", "size", "text_crc32", "rid", F.col("p.shard").alias("shard"), F.col("p.grown_shard").alias("grown_shard"))
-    placed = write_table(placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(chunks)).cast("int")), "shards")
+    placed = write_table(placed, "shards")
+    chunks = max(chunks, -(-placed.count() // (n_shards * chunk_rows)))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(chunks)).cast("int"))
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "chunk").orderBy("doc_id", "rid")
-    # starts has n_shards * chunks rows at most, whatever the input
+    # starts has a row for each chunk: 2560 at 40 shards, or one for each chunk_rows rows
     numbered = placed.withColumn("at", F.row_number().over(within) - 1).join(F.broadcast(starts), ["shard", "chunk"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("at")).alias("slot"), "grown_shard")
 
