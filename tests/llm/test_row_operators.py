@@ -62,6 +62,14 @@ def test_shards_are_even_and_move_little(spark):
     assert 700 < len(moved) < 1300
 
 
+def test_shards_of_many_rows_have_more_chunks(spark, odd):
+    rows = sharding.assign_shards(spark.range(5000).selectExpr("id AS doc_id", "'x' AS text"), 4, chunks=1, chunk_rows=100).collect()
+    for k in range(4):
+        mine = sorted(r.slot for r in rows if r.shard == k)
+        assert mine == list(range(len(mine)))
+    assert len(rows) == 5000
+
+
 def test_written_shards_hold_all_rows(spark, odd, tmp_path):
     sharding.write_shards(odd, str(tmp_path / "s"), 5)
     back = spark.read.parquet(str(tmp_path / "s"))
@@ -180,6 +188,31 @@ def test_fingerprints_of_odd_documents(spark, odd, empty):
     assert fingerprint.groups(fingerprint.fingerprints(odd)).agg({"n": "sum"}).first()[0] == odd.count()
 
 
+def test_edits_of_an_id_of_many_rows(spark, monkeypatch):
+    """An id, or none, of a third of all rows is cut into ranges by its texts; rows equal in both are kept."""
+    import xxhash
+
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 10)
+    rows = [(i, f"text {i} of its own") for i in range(100)] + [(50, f"text {i} of one id") for i in range(150)] + [(None, f"text {i} of none") for i in range(150)] + [(None, None)] * 30 + [(7, "again and again")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    tie = lambda t: xxhash.xxh3_64_intdigest((t or "").encode()) >> 1
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1])))
+    want = []
+    for (key, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        text, k = text or "", len(text or "") // 3
+        want.append((str(key), hashlib.sha256((text[: len(text) - k] + (after or "")[:k]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in fingerprint.with_edits(docs).collect()) == sorted(want)
+
+
+def test_ranges_keep_the_order_of_rows():
+    ranges = fingerprint._Ranges(np.array([-3, 5, 5, 5, 9, 9]))
+    rows = sorted(((k, t) for k in range(-6, 12) for t in range(0, 1 << 63, 1 << 59)), key=lambda r: (-r[0], r[1]))
+    found = ranges.of(np.array([k for k, _ in rows]), np.array([t for _, t in rows])).tolist()
+    assert found == sorted(found) and set(found) == set(range(ranges.n))
+    assert len({b for (k, _), b in zip(rows, found, strict=True) if k == 5}) == 4
+    assert fingerprint._Ranges(np.empty(0, np.int64)).of(np.array([1, 2]), np.array([0, 5])).tolist() == [0, 0]
+
+
 def test_edits_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 3)
     rows = {r.doc_id: r.edited_sha256 for r in fingerprint.with_edits(spark.range(50).selectExpr("id * 7 AS doc_id", "concat('text number ', id) AS text")).collect()}

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import bit_set, col, slices, write_table
 
-#: Rows of a range of ids on average, and the most ranges; more rows make larger ranges.
-RANGE_ROWS, MAX_RANGES = 2000, 4096
+#: Rows of a range of ids on average, and the most ranges; more rows make larger ranges. Keys that are looked at to cut
+#: one range from the next: they only decide how even the ranges are.
+RANGE_ROWS, MAX_RANGES, RANGE_KEYS = 2000, 1 << 15, 20
 #: log2 of the bits of the map of digests that occur more than once; a digest's first bits are its place.
 MAP_BITS = 22
 #: Bytes of canonical texts that a task keeps for comparing before the shuffle.
@@ -128,7 +129,8 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     0 elsewhere. Rows of one id follow each other by a hash of their text; null ids come after all others. A null
     text is empty. Other columns are ignored.
 
-    Rows are dealt to ranges of ids and sorted there. A range also gets the first row of the range after it.
+    Rows are dealt to ranges of ids and sorted there. A range also gets the first row of the range after it. An id of
+    more rows than a range has is cut into ranges by the hash of its texts; rows equal in both stay together.
     """
     found = write_table(_edits(docs, id_col, text_col, bits, frozenset()), "edits")
     shared = shared_digests(docs, found.select(F.col("fingerprint").alias("digest")), text_col, bits)
@@ -137,44 +139,62 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _edits(docs: DataFrame, id_col: str, text_col: str, bits: int, shared: frozenset[str]) -> DataFrame:
     lowest = np.iinfo(np.int64).min
-    ids = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(int(lowest))).alias("k"))
-    n = max(1, min(MAX_RANGES, math.ceil(ids.count() / RANGE_ROWS)))
-    cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
-    bounds = np.unique(np.array(cuts if n > 1 else [], np.int64))
-
-    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most: dict[int, int] = {}
+    key = F.coalesce(col(id_col).cast("long"), F.lit(int(lowest))).alias("k")
+    ids = docs.select(key)
+    total = ids.count()
+    n = max(1, min(MAX_RANGES, math.ceil(total / RANGE_ROWS)))
+    keys = ids.where(F.rand(0) < RANGE_KEYS * n / total).toArrow().column(0).to_numpy() if n > 1 else np.empty(0, np.int64)  # some RANGE_KEYS * n
+    ranges = _Ranges(np.sort(keys)[np.arange(1, n) * len(keys) // n] if len(keys) else keys)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, tuple[int, int]] = {}  # the first row of each range: by descending key, then by tie
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for b, k in zip(*_max_by(len(bounds) - np.searchsorted(bounds, keys), keys), strict=True):
-                most[b] = max(k, most.get(b, k))
-        yield pa.RecordBatch.from_arrays([pa.array(most.keys(), pa.int32()), pa.array(most.values(), pa.int64())], ["b", "k"])
-
-    heads = {r.b: r.k for r in ids.mapInArrow(highest, "b int, k long").groupBy("b").agg(F.max("k").alias("k")).collect()}
+            ties = np.zeros(len(keys), np.int64)
+            if len(ranges.hot):
+                some = np.flatnonzero(np.isin(keys, ranges.hot))
+                ties[some] = [_tie((t or "").encode()) for t in batch.column(1).take(pa.array(some)).to_pylist()]
+            where = ranges.of(keys, ties)
+            order = np.lexsort((ties, -1 - keys, where))  # -1 - k turns the order of all 64-bit numbers round
+            for i in order[np.flatnonzero(np.diff(where[order], prepend=-1))].tolist():
+                b, row = int(where[i]), (-1 - int(keys[i]), int(ties[i]))
+                least[b] = min(row, least.get(b, row))
+        yield pa.RecordBatch.from_arrays([pa.array(least.keys(), pa.int32()), pa.array([x for x, _ in least.values()], pa.int64()), pa.array([x for _, x in least.values()], pa.int64())], ["b", "back", "tie"])
+
+    keyed = docs.select(key, col(text_col)) if len(ranges.hot) else ids
+    heads = keyed.mapInArrow(first, "b int, back long, tie long").groupBy("b").agg(F.min(F.struct("back", "tie")).alias("x")).collect()  # a row for each range
+    heads = {r.b: (-1 - r.x.back, r.x.tie) for r in heads}
     order = sorted(heads)
-    before = {heads[b]: order[i - 1] for i, b in enumerate(order)}  # a range's first key: the range that it also goes to
-    head_keys = np.array(sorted(before), np.int64)
+    before = {b: order[i - 1] for i, b in enumerate(order)}  # the range that also gets a range's first row
+    head_key, head_tie, head_hot = np.zeros(ranges.n, np.int64), np.zeros(ranges.n, np.int64), np.zeros(ranges.n, bool)
+    for b, (k, tie) in heads.items():
+        head_key[b], head_tie[b] = k, tie
+    head_hot[order] = np.isin(head_key[order], ranges.hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=3)
+        packer, sent = zstandard.ZstdCompressor(level=3), set()
         for batch in batches:
             for part in slices(batch, 1):
                 keys = part.column(0).to_numpy()
                 raw = [(t or "").encode() for t in part.column(1).to_pylist()]
-                tie = [xxhash.xxh3_64_intdigest(t) >> 1 for t in raw]
+                tie = np.array([*map(_tie, raw)], np.int64)
                 body = [packer.compress(t) for t in raw]
-                where = len(bounds) - np.searchsorted(bounds, keys)
-                twice = np.flatnonzero(np.isin(keys, head_keys))
-                take = [*range(len(raw)), *twice.tolist()]
+                where = ranges.of(keys, tie)
+                hot = head_hot[where]
+                twice = []
+                for i in np.flatnonzero((keys == head_key[where]) & (~hot | (tie == head_tie[where]))).tolist():
+                    if not hot[i] or where[i] not in sent:  # rows equal in id and text are one as a first row
+                        sent.add(where[i])
+                        twice.append(i)
+                take = [*range(len(raw)), *twice]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([*where.tolist(), *(before[int(keys[i])] for i in twice)], pa.int32()),
+                        pa.array([*where.tolist(), *(before[int(where[i])] for i in twice)], pa.int32()),
                         pa.array(np.arange(len(take)) >= len(raw)),
                         pa.array(keys[take], pa.int64()),
-                        pa.array([tie[i] for i in take], pa.int64()),
+                        pa.array(tie[take], pa.int64()),
                         part.column(2).take(pa.array(take)),
                         pa.array([body[i] for i in take], pa.binary()),
                     ],
@@ -205,16 +225,35 @@ def _edits(docs: DataFrame, id_col: str, text_col: str, bits: int, shared: froze
 
     rows = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(int(lowest))).alias("k"), col(text_col).alias("text"), col(id_col).isNull().alias("no_id"))
     dealt = rows.mapInArrow(deal, "b int, tail boolean, k long, tie long, no_id boolean, body binary")
-    ranged = dealt.repartitionById(len(bounds) + 1, F.col("b")).sortWithinPartitions("b", "tail", F.desc("k"), "tie")
+    ranged = dealt.repartitionById(ranges.n, F.col("b")).sortWithinPartitions("b", "tail", F.desc("k"), "tie")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return ranged.mapInArrow(edit, schema)
 
 
-def _max_by(groups_: np.ndarray, keys: np.ndarray) -> tuple[list[int], list[int]]:
-    names, inverse = np.unique(groups_, return_inverse=True)
-    most = np.full(len(names), np.iinfo(np.int64).min)
-    np.maximum.at(most, inverse, keys)
-    return names.tolist(), most.tolist()
+def _tie(body: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(body) >> 1
+
+
+class _Ranges:
+    """Ranges of rows by descending key, numbered from 0; a cut is the highest key of the range that it begins.
+
+    A key that is several cuts has more rows than a range: it is cut into as many parts, and one more, by ties of 63 bits.
+    """
+
+    def __init__(self, cuts: np.ndarray):
+        self.bounds, times = np.unique(cuts, return_counts=True)
+        self.hot = self.bounds[times > 1]
+        self.parts = np.append(np.where(times > 1, times + 1, 1), 1)
+        self.added = np.append(np.cumsum((self.parts[:-1] - 1)[::-1])[::-1], 0)  # parts beyond the first of this key and all above
+        self.n = int(self.parts.sum())
+
+    def of(self, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.bounds, keys, "left"), np.searchsorted(self.bounds, keys, "right")
+        width = np.uint64(1 << 63) // self.parts[low].astype(np.uint64) + np.uint64(1)
+        part = np.where(high > low, (ties.astype(np.uint64) // width).astype(np.int64), 0)
+        return len(self.bounds) - low + self.added[high] + part
 
 
 def _edited(this: tuple, after: tuple, bits: int, shared: frozenset[str]) -> tuple:
