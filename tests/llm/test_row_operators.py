@@ -139,6 +139,13 @@ def test_sanitising(spark, odd, empty):
     assert not any("@" in (r.text or "") for r in pii.sanitise(odd).collect() if r.doc_id in (8, 13))
 
 
+def test_words_of_many_pairs_are_counted_without_being_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"ask {name} Quill of harbour lane at {name}@mail.test today") for i, name in enumerate(["anna", "berta", "anna", "berta", "anna"])] + [(9, "harbour lane today")], "doc_id int, text string")
+    several = sorted(map(str, pii.find(docs).drop("key").collect()))
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, pii.find(docs).drop("key").collect())) == several and "term" in "".join(several)
+
+
 def test_words_reveal_an_entity_of_one_document(spark):
     rows = [(0, "the quxorian desk, mail boss@corp.example the day")] + [(i, f"the day and the mail at the desk, only{'abcdefghijklmnopqrstuvwxyz'[i]} here") for i in range(1, 20)]
     out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
