@@ -1,7 +1,10 @@
 """Sharding, secrets, fingerprints, BPE, language ID and personal data against brute force and on odd tables."""
 
 import base64
+import collections
 import hashlib
+import itertools
+import math
 
 import cases
 import numpy as np
@@ -166,6 +169,40 @@ def test_words_reveal_an_entity_from_anywhere_in_its_document(spark):
     assert both[20] == "+1 [TERM] 2345678 [EMAIL]"
 
 
+def test_terms_of_whole_texts_stand_anywhere(spark):
+    filler = "the day 12 and the mail at the desk " * 5
+    text = f"Quxorian {filler}boss@corp.example {filler}the quxorian"
+    rows = [(0, text), (1, text + " day")] + [(i, f"{filler}only") for i in range(2, 20)] + [(20, None), (None, text), (0, text)]
+    out = pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"), whole=True)).collect()
+    mail, last = text.index("boss"), text.index("quxorian")
+    want = f"email:{mail}:{mail + 17},term:0:8,term:{last}:{last + 8}"
+    assert sorted((str(r.doc_id), r.spans) for r in out) == sorted((str(i), want if t and "boss" in t else "") for i, t in rows)
+
+
+@pytest.mark.parametrize(("support", "prior"), [(2, 0.0), (1, 0.5)])
+def test_terms_of_whole_texts_against_brute_force(spark, support, prior):
+    texts = {k: t or "" for k, t in cases.table("documents", ["doc_id", "text"])}
+    base = {k: [(int(x.split(":")[1]), int(x.split(":")[2])) for x in cases.personal(t)["base"].split(",") if x] for k, t in texts.items()}
+    words = {k: [(m[0][0], m[-1][0] + 1) for a, g in itertools.groupby(enumerate(t), lambda c: c[1].isalpha()) if a and len(m := [*g]) > 2] for k, t in texts.items()}
+    inside = {k: {t[s:e].lower() for s, e in words[k]} for k, t in texts.items()}
+    n_t, n_v, n_both = collections.Counter(w for x in inside.values() for w in x), collections.Counter(), collections.Counter()
+    held = {k: {t[s:e] for s, e in base[k]} for k, t in texts.items()}
+    for k, vs in held.items():
+        n_v.update(vs)
+        n_both.update((v, w) for v in vs for w in inside[k])
+
+    def reveals(v, w):
+        p, bits = n_v[v] / len(texts), math.log2(len(texts) / n_v[v])
+        return n_both[v, w] >= support and math.log2((n_both[v, w] + prior * p) / (n_t[w] + prior)) + bits >= 0.7 * bits
+
+    told = {k: {w for w in inside[k] if any(reveals(v, w) for v in vs)} for k, vs in held.items()}
+    want = {k: [(s, e) for s, e in words[k] if t[s:e].lower() in told[k] and not any(b < e and s < f for b, f in base[k])] for k, t in texts.items()}
+    assert any(want.values())
+    for r in pii.find(spark.read.parquet(f"{cases.SF}/documents.parquet"), support=support, prior=prior, whole=True).collect():
+        assert [(x.s, x.e) for x in r.spans if x.kind == "term"] == want[r.doc_id]
+        assert [(x.s, x.e) for x in r.spans if x.kind != "term"] == base[r.doc_id]
+
+
 def test_fingerprints_with_edits(spark, odd):
     docs = spark.read.parquet(f"{cases.SF}/documents.parquet").repartition(5)
     rows = {r.doc_id: r for r in fingerprint.with_edits(docs).collect()}
